@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.session import spread
+
 AS_OF = "2002-01-15"
 SPAN_ORDER = ("page", "pk", "px")
 
@@ -15,6 +17,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def spans(spark: SparkSession, d: str) -> DataFrame:
     step = F.round(F.col("l_discount") * 100).cast("int")
     color = (
@@ -132,7 +138,7 @@ def pattern_docs(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents, each led by a text that shows one pattern or none."""
     kind = F.col("doc_id") % 6
     lead = F.coalesce(*[F.when(kind == i, t) for i, t in enumerate(PATTERN_LEADS)])
-    return table(spark, d, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
+    return documents(spark, d).select("doc_id", F.concat(lead, "text").alias("text"))
 
 
 def run_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -79,68 +79,48 @@ def score_categories(texts: DataFrame, lexicon: DataFrame, column: str = "text")
 
 
 def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
-    """The same scores for a lexicon of any size.
+    """The same scores for a lexicon of any size; ``texts`` needs a ``doc_id``.
 
-    Every word start is paired with the keywords it begins by an equi-join on the first characters, one run of
-    characters per keyword length; positions of a keyword in a document are then counted without overlaps.
-    ``texts`` needs a ``doc_id``.
+    An equi-join of word beginnings with the keywords finds which keywords a document has; only those are then scored.
     """
-    terms = lexicon.select("category", "term", "ord").withColumn("len", F.length("term"))
-    lengths = F.array_sort(terms.agg(F.collect_set("len").alias("l")).scalar())
-    order = terms.groupBy("category").agg(F.min("ord").alias("ord"))
-    padded = texts.select("doc_id", _padded(column).alias("t"))
-    parts = F.split("t", " ", -1)
-    # The k-th word starts after the k-1 words before it and one space each; the first part is empty.
-    begins = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    starts = padded.select("doc_id", "t", F.explode(begins).alias("at"))
-    pieces = starts.select(
-        "doc_id",
-        F.length("t").alias("size"),
-        "at",
-        F.explode(F.transform(lengths, lambda n: F.substring("t", F.col("at") + 1, n))).alias("term"),
-    ).filter(F.length("term") > 0)
-    counted = (
-        pieces.join(terms, "term")
-        .groupBy("doc_id", "category", "ord", "term", "len")
-        .agg(F.max("size").alias("size"), F.min("at").alias("first"), F.array_sort(F.collect_set("at")).alias("at"))
-    )
-    # Occurrences are taken from the left and may not overlap; each is one character longer than the keyword.
-    apart = F.aggregate(
-        "at",
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("free")),
-        lambda acc, x: F.when(
-            x >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (x + F.col("len") + 1).alias("free"))
-        ).otherwise(acc),
-        lambda acc: acc["n"],
+    terms = lexicon.select("category", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
+    lengths = [r.n for r in terms.select(F.length("term").alias("n")).distinct().orderBy("n").collect()]
+    longest = max(lengths)
+    parts = texts.select("doc_id", F.split(_padded(column), " ", -1).alias("parts"))
+    # A keyword of n characters spans at most n parts, so a beginning is cut from that many.
+    beginnings = F.transform(
+        F.sequence(F.lit(2), F.size("parts") - 1),
+        lambda i: F.substring(F.array_join(F.slice("parts", i, longest), " "), 1, longest),
     )
-    scored = counted.select("doc_id", "category", _term_score(F.col("size"), F.col("first") - 1, apart).alias("score"))
-    per_category = scored.groupBy("doc_id", "category").agg(F.sum("score").alias("score"))
-    total = per_category.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("found")
+    heads = parts.filter(F.size("parts") > 2).select("doc_id", F.explode(F.array_distinct(beginnings)).alias("head"))
+    prefixes = F.array_distinct(F.array(*[F.substring("head", 1, n) for n in lengths]))
+    found = heads.select("doc_id", F.explode(prefixes).alias("term")).distinct().join(terms, "term")
+    matched = (
+        found.groupBy("doc_id", "category")
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "term", "weight"))).alias("terms"))
+        .groupBy("doc_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("category", "terms"))).alias("_found"))
     )
-    categories = F.array_sort(order.agg(F.collect_list(F.struct("ord", "category")).alias("c")).scalar())
-    dense = F.transform(
-        categories,
-        lambda c: F.struct(
+    order = terms.groupBy("category").agg(F.min("ord").alias("ord"))
+    categories = order.agg(F.array_sort(F.collect_list(F.struct("ord", "category")))).scalar()
+    joined = texts.join(matched, "doc_id", "left").withColumns({"_t": _padded(column), "_categories": categories})
+    none = F.array().cast("array<struct<ord:int,term:string,weight:double>>")
+    own = F.transform(
+        "_categories",
+        lambda c, i: F.struct(
             c["category"].alias("category"),
-            c["ord"].alias("ord"),
-            F.coalesce(F.try_element_at("found", c["category"]), F.lit(0.0)).alias("score"),
+            i.alias("ord"),
+            F.coalesce(F.try_element_at("_found", c["category"]), none).alias("terms"),
         ),
     )
-    found = texts.join(total, "doc_id", "left").withColumn(
-        "found", F.coalesce("found", F.create_map().cast("map<string,double>"))
-    )
-    return with_probabilities(found.withColumn("scores", dense).drop("found"))
+    scored = joined.withColumn("_own", own).withColumn("scores", category_score_array(F.col("_t"), F.col("_own")))
+    return with_probabilities(scored.drop("_t", "_own", "_found", "_categories"))
 
 
 def category_probabilities(scored: DataFrame, digits: int = 4) -> DataFrame:
     """Long form: ``doc_id, category, ord, score, prob``."""
-    return scored.select("doc_id", F.explode("scores").alias("s")).select(
+    # An outer explode: the inner one adds a filter on the array, for which it would be computed a second time.
+    return scored.select("doc_id", F.explode_outer("scores").alias("s")).filter("s is not null").select(
         "doc_id", "s.category", "s.ord", "s.score", F.round("s.prob", digits).alias("prob")
     )
 

@@ -9,7 +9,7 @@ from docsieve.operators import classify as K
 
 
 def _scored(spark, d):
-    texts = X.table(spark, d, "documents").select("doc_id", "text", "lang")
+    texts = X.documents(spark, d, "lang")
     return K.score_categories(texts, X.language_lexicon(spark))
 
 
@@ -23,7 +23,7 @@ def e1_score_categories(spark, d):
 
 def e1_score_categories_by_join(spark, d):
     """The form for lexicons of any size, on the same input."""
-    texts = X.table(spark, d, "documents").select("doc_id", "text")
+    texts = X.documents(spark, d)
     return _long(K.score_categories_by_join(texts, X.language_lexicon(spark))).drop("prob")
 
 
@@ -96,7 +96,7 @@ E5 = f"SELECT doc_id, round(confidence, 6) AS confidence FROM ({ADJUSTED})"
 def _with_missing(spark, d):
     """Every seventh text is missing."""
     text = F.when(F.col("doc_id") % 7 != 3, F.col("text"))
-    return X.table(spark, d, "documents").select("doc_id", text.alias("text"))
+    return X.documents(spark, d).select("doc_id", text.alias("text"))
 
 
 def e6_batch_predict(spark, d):

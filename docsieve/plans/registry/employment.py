@@ -60,7 +60,7 @@ def _point(text: str) -> str:
     first = f"make_date({year}, {month}, 1)"
     return (
         f"CASE WHEN regexp_full_match({text}, '([a-z]+ ?)?\\d{{4}}') AND {month} IS NOT NULL"
-        f" THEN CAST(least({first} + (day(DATE '{X.AS_OF}') - 1), last_day({first})) AS DATE) END"
+        f" THEN CAST(least({first} + CAST(day(DATE '{X.AS_OF}') - 1 AS INT), last_day({first})) AS DATE) END"
     )
 
 

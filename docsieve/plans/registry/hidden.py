@@ -219,7 +219,7 @@ D4 = f"SELECT doc_id, side, kind, category, phrase, CAST(n AS BIGINT) AS n FROM
 
 def d4_match_phrases_documents(spark, d):
     """Phrase matching over whole documents with the language lexicon."""
-    texts = X.table(spark, d, "documents").select("doc_id", "text")
+    texts = X.documents(spark, d)
     return M.match_phrases(texts, X.language_lexicon(spark)).select("doc_id", "kind", "category", "phrase", *_b("n"))
 
 

@@ -16,7 +16,7 @@ _WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> '')"
 
 
 def _documents(spark, d):
-    return X.table(spark, d, "documents")
+    return X.documents(spark, d, "lang")
 
 
 def b1_clean_text(spark, d):
