@@ -142,15 +142,13 @@ def pattern_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_lines(spark: SparkSession, d: str) -> DataFrame:
-    """``line_no`` is the event's place in time in microseconds apart, so no ordering over a whole log is needed."""
-    from docsieve.operators.ordered import last_seen, position
+    from docsieve.operators.ordered import along
 
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("log_id"), "event_type")
     day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
     order = [F.col("ts"), F.col("event_id")]
-    numbered = position(e, ["log_id"], order, day, "line_no")
     begun = F.when(F.col("event_type") == "signup", F.concat(F.lit("r"), F.col("event_id").cast("string")))
-    known = last_seen(numbered, ["log_id"], [F.col("line_no")], F.floor(F.col("line_no") / 4096), begun, "open_id")
+    known = along(e, ["log_id"], order, day, {"line_no": F.lit(1).cast("bigint")}, {"open_id": begun})
     n = F.col("event_id")
     stamp = F.date_format("ts", "yyyyMMdd_HHmmss")
     line = (
@@ -204,6 +202,12 @@ LEMMAS = {
     "ores": "ore", "hens": "hen", "thes": "the", "ands": "and", "ares": "are",
     "ithe": "the", "tions": "tion", "lesen": "les", "unds": "und", "elle": "el",
 }
+JOB_TERMS = {
+    "Development": ("developer", "software", "python"),
+    "Science": ("data scientist", "analyst", "research", "statistics"),
+    "Sales": ("sales", "marketing", "head of"),
+}
+JOB_FALLBACK = {"Development": ("code",), "Science": ("study",), "Sales": ("client",)}
 LEXICON_SCHEMA = "kind string, category string, term string, weight double, ord int"
 
 
@@ -217,6 +221,15 @@ def product_rows() -> list[tuple]:
     return [(k, c, t, 1.0, i) for i, (k, c, t) in enumerate(rows)]
 
 
+def job_rows() -> list[tuple]:
+    rows = [("job", c, t) for c, ts in JOB_TERMS.items() for t in ts]
+    return [(k, c, t, 1.0 - 0.05 * i, i) for i, (k, c, t) in enumerate(rows)]
+
+
+def job_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(job_rows(), LEXICON_SCHEMA)
+
+
 def language_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(language_rows(), LEXICON_SCHEMA)
 
@@ -294,6 +307,8 @@ CTES = {
              ', ''keyword_stuffing_detected'': ', CASE WHEN event_id % 10 = 0 THEN 'True' ELSE 'False' END, '}}') END AS line
         FROM numbered_events""",
     "language_lexicon": sql_values(language_rows(), "kind, category, term, weight, ord"),
+    "job_lexicon": sql_values(job_rows(), "kind, category, term, weight, ord"),
+    "resume_docs": "SELECT candidate_id AS doc_id, text FROM resumes",
     "product_lexicon": sql_values(product_rows(), "kind, category, term, weight, ord"),
 }
 

@@ -5,7 +5,7 @@ a range of line numbers, a range of pages), rows are windowed within (key, bucke
 border travels as one summary row per bucket. A key holding a third of all rows is spread over its buckets.
 
 ``bucket`` must be non-decreasing along the order. Both branches start from the same repartitioning, so the rows
-are shuffled once; only the summaries move again.
+are computed and shuffled once (Spark reuses the exchange); only the summaries move again.
 """
 
 from __future__ import annotations
@@ -19,7 +19,13 @@ _BUCKET = "_bucket"
 
 
 def _place(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    return df.withColumn(_BUCKET, bucket.cast("bigint")).repartition(*keys, _BUCKET)
+    """Rows by key and bucket, in one shuffle for both branches.
+
+    An exchange is reused only where both branches read the same columns from it. The condition, always true, refers
+    to all of them and is not moved below the exchange, so neither branch gets a narrower one of its own.
+    """
+    placed = df.withColumn(_BUCKET, bucket.cast("bigint")).repartition(*keys, _BUCKET)
+    return placed.filter(F.monotonically_increasing_id() >= F.least(F.xxhash64(*placed.columns), F.lit(0)))
 
 
 def _local(keys: Sequence[str], order: Sequence[Column]) -> Window:
@@ -36,21 +42,40 @@ def _attach(placed: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataF
     return placed.join(renamed, cond, "left").drop(*[f"_s_{c}" for c in on])
 
 
-def last_seen(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, value: Column, name: str
+def along(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    bucket: Column,
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """The latest non-null ``value`` at or before each row."""
-    placed = _place(df.withColumn("_v", value), keys, bucket)
-    rank = F.when(F.col("_v").isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    summary = placed.groupBy(*keys, _BUCKET).agg(F.max_by("_v", rank).alias("_last"))
+    """Running totals (``sums``) and latest non-null values (``lasts``) up to and including each row."""
+    sums, lasts = sums or {}, lasts or {}
+    placed = _place(df.withColumns({**sums, **lasts}), keys, bucket)
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    totals = [F.sum(n).alias(n) for n in sums]
+    latest = [F.max_by(n, F.when(F.col(n).isNotNull(), rank)).alias(n) for n in lasts]
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).filter(
-        F.col("_carry").isNotNull()
-    )
+    carry = [F.sum(n).over(before).alias(n) for n in sums] + [F.last(n, ignorenulls=True).over(before).alias(n) for n in lasts]
+    summary = placed.groupBy(*keys, _BUCKET).agg(*totals, *latest).select(*keys, _BUCKET, F.struct(*carry).alias("_carry"))
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    here = placed.withColumn("_here", F.last("_v", ignorenulls=True).over(upto))
+    here = placed.withColumns({
+        **{n: F.sum(n).over(upto) for n in sums},
+        **{n: F.last(n, ignorenulls=True).over(upto) for n in lasts},
+    })
     joined = _attach(here, summary, keys)
-    return joined.withColumn(name, F.coalesce("_here", "_carry")).drop("_v", "_here", "_carry", _BUCKET)
+    return joined.withColumns({
+        **{n: F.col(n) + F.coalesce(F.col("_carry")[n], F.lit(0)) for n in sums},
+        **{n: F.coalesce(F.col(n), F.col("_carry")[n]) for n in lasts},
+    }).drop("_carry", _BUCKET)
+
+
+def last_seen(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, value: Column, name: str
+) -> DataFrame:
+    """The latest non-null ``value`` at or before each row."""
+    return along(df, keys, order, bucket, lasts={name: value})
 
 
 def next_value(
@@ -60,8 +85,8 @@ def next_value(
     placed = _place(df.withColumn("_v", F.struct(value.alias("v"))), keys, bucket)
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     summary = placed.groupBy(*keys, _BUCKET).agg(F.min_by("_v", rank).alias("_first"))
-    along = Window.partitionBy(*keys).orderBy(_BUCKET)
-    summary = summary.withColumn("_carry", F.lead("_first").over(along)).filter(F.col("_carry").isNotNull())
+    by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
+    summary = summary.withColumn("_carry", F.lead("_first").over(by_bucket)).filter(F.col("_carry").isNotNull())
     here = placed.withColumn("_here", F.lead("_v").over(_local(keys, order)))
     joined = _attach(here, summary, keys)
     return joined.withColumn(name, F.coalesce("_here", "_carry")["v"]).drop("_v", "_here", "_carry", _BUCKET)
@@ -71,21 +96,7 @@ def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, sums: dict[str, Column]
 ) -> DataFrame:
     """Running totals up to and including each row."""
-    for name, value in sums.items():
-        df = df.withColumn(name, value)
-    placed = _place(df, keys, bucket)
-    totals = placed.groupBy(*keys, _BUCKET).agg(*[F.sum(n).alias(n) for n in sums])
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = totals.withColumn(
-        "_carry", F.struct(*[F.sum(n).over(before).alias(n) for n in sums])
-    ).drop(*sums)
-    upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    for name in sums:
-        placed = placed.withColumn(name, F.sum(name).over(upto))
-    joined = _attach(placed, summary, keys)
-    for name in sums:
-        joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col("_carry")[name], F.lit(0)))
-    return joined.drop("_carry", _BUCKET)
+    return along(df, keys, order, bucket, sums=sums)
 
 
 def position(

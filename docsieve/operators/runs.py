@@ -120,9 +120,7 @@ def _assign(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             state, (parent, closes, status) = advance(state, row.kind, row.id, row.mode, row.line_no)
             top, child = state[0][0], state[1][0]
             out.append((parent, closes, status, top, child if child is not None else top))
-        added = pd.DataFrame(
-            out, columns=["parent_line", "closes_line", "closes_status", "top_line", "open_line"], dtype=object
-        )
+        added = pd.DataFrame(out, columns=["parent_line", "closes_line", "closes_status", "top_line", "open_line"], dtype=object)
         numbers = ["parent_line", "closes_line", "top_line", "open_line"]
         added[numbers] = added[numbers].astype("Int64")
         yield pd.concat([pdf.drop(columns="segment").reset_index(drop=True), added], axis=1)
@@ -132,15 +130,18 @@ def _bucket(lines: int = LINES_PER_BUCKET) -> Column:
     return F.floor(F.col("line_no") / lines)
 
 
-def independent_segments(markers: DataFrame) -> DataFrame:
-    """``segment``: pieces of a log that do not depend on each other.
+def independent_segments(markers: DataFrame, within_batches: bool = False) -> DataFrame:
+    """``segment``: pieces of a log that do not depend on each other, so that one long log is worked on by many tasks.
 
-    A batch marker replaces whatever was open. Within a batch, a run that begins when every earlier one has ended
-    starts afresh too. So one long log is worked on by many tasks.
+    A batch marker replaces whatever was open, so every batch starts a segment. With ``within_batches`` a run that
+    begins when every earlier one has ended starts one too; this costs more passes and serves logs without batches.
     """
     order, bucket = [F.col("line_no")], _bucket()
     batch = (F.col("kind") == "begin") & ~F.col("mode").eqNullSafe("analyze")
-    numbered = running(markers, ["log_id"], order, bucket, {"batch_no": batch.cast("bigint")})
+    numbered = running(markers, ["log_id"], order, bucket, {"segment": batch.cast("bigint")})
+    if not within_batches:
+        return numbered
+    numbered = numbered.withColumnRenamed("segment", "batch_no")
     spans = numbered.groupBy("log_id", "batch_no", "id").agg(
         F.count_if(F.col("kind") == "begin").alias("begins"),
         F.max(F.when(F.col("kind") == "begin", F.col("line_no"))).alias("begin_line"),
@@ -157,10 +158,10 @@ def independent_segments(markers: DataFrame) -> DataFrame:
     return running(depth, ["log_id"], order, bucket, {"segment": fresh.cast("bigint")}).drop("batch_no", "depth")
 
 
-def assign_markers(lines: DataFrame) -> DataFrame:
+def assign_markers(lines: DataFrame, within_batches: bool = False) -> DataFrame:
     """Every marker with the run it begins or ends, and the run open after it."""
     markers = parse_marker(lines).filter("kind is not null").select("log_id", "line_no", "kind", *MARKER_KEYS)
-    segmented = independent_segments(markers)
+    segmented = independent_segments(markers, within_batches)
     columns = ["log_id", "line_no", "kind", *MARKER_KEYS, "segment"]
     placed = segmented.select(*columns).repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
     return placed.mapInPandas(_assign, _ASSIGNED)
@@ -188,29 +189,32 @@ def assign_to_run(lines: DataFrame, markers: DataFrame | None = None) -> DataFra
 
 
 def run_status(markers: DataFrame) -> DataFrame:
-    """One row per run: where it begins, its parent, status, times and duration in seconds."""
-    closed = markers.filter("closes_line is not null").select(
-        "log_id", F.col("closes_line").alias("run_line"), F.col("closes_status").alias("end_status"), F.col("timestamp").alias("end_time")
-    )
-    begun = markers.filter("kind = 'begin'").select(
-        "log_id",
-        F.col("line_no").alias("run_line"),
-        "id",
-        "mode",
-        "file",
-        "pattern",
-        F.col("timestamp").alias("start_time"),
-        "parent_line",
+    """One row per run: where it begins, its parent, status, times and duration in seconds.
+
+    A marker concerns one run, the one it begins or the one it closes; both meet in one aggregation.
+    """
+    begins = F.col("kind") == "begin"
+    closes = F.col("closes_line").isNotNull()
+    about = markers.filter(begins | closes).withColumn("run_line", F.coalesce("closes_line", "line_no"))
+
+    def own(column: str) -> Column:
+        return F.max(F.when(begins, F.col(column)))
+
+    runs = about.groupBy("log_id", "run_line").agg(
+        *[own(c).alias(c) for c in ("id", "mode", "file", "pattern")],
+        own("timestamp").alias("start_time"),
+        own("parent_line").alias("parent_line"),
+        F.max("closes_status").alias("end_status"),
+        F.max(F.when(closes, F.col("timestamp"))).alias("ended"),
     )
-    runs = begun.join(closed, ["log_id", "run_line"], "left")
-    seconds = F.unix_timestamp(to_time(F.col("end_time"))) - F.unix_timestamp(to_time(F.col("start_time")))
     completed = F.col("end_status") == "completed"
+    seconds = F.unix_timestamp(to_time(F.col("ended"))) - F.unix_timestamp(to_time(F.col("start_time")))
     return runs.select(
-        *begun.columns,
+        "log_id", "run_line", "id", "mode", "file", "pattern", "start_time", "parent_line",
         F.coalesce("end_status", F.lit("running")).alias("status"),
-        F.when(completed, F.col("end_time")).alias("end_time"),
+        F.when(completed, F.col("ended")).alias("end_time"),
         F.when(completed, seconds).alias("duration_seconds"),
-    )
+    )
 
 
 def latest_runs(runs: DataFrame, n: int = 10, highest: int = 100) -> DataFrame:

@@ -16,6 +16,7 @@ from docsieve.operators.employment import employment_patterns, extract_employmen
 from docsieve.operators.lexicon import fits
 from docsieve.operators.spans import (
     SPAN_ORDER,
+    STUFFING_WORDS,
     is_hidden,
     keyword_hits,
     side_content,
@@ -86,10 +87,16 @@ def verdicts(
     return found, sides
 
 
-def hidden_section(spans: DataFrame, order: Sequence[str] = SPAN_ORDER, keep=lambda df: df, **inputs) -> DataFrame:
+def hidden_section(
+    spans: DataFrame,
+    order: Sequence[str] = SPAN_ORDER,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keywords: Sequence[str] = STUFFING_WORDS,
+    **inputs,
+) -> DataFrame:
     """One row per document with spans: statistics, stuffing flag and verdict."""
     stats = span_statistics(spans)
-    hits = keyword_hits(text_chunks(suspects(spans), order))
+    hits = keyword_hits(text_chunks(spans.filter(is_hidden()), order), keywords)
     found, sides = verdicts(spans, order=order, keep=keep, **inputs)
     found = keep(found)
     combined = M.combine_verdicts(found, sides=sides)

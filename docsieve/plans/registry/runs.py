@@ -110,18 +110,26 @@ def _with_results(spark, d):
 
 
 def j7_run_by_id(spark, d):
-    """The run of every log that begins with the log's number, found by its id, with its results."""
-    found = R.run_by_id(_with_results(spark, d), "r79")
-    wanted = _with_results(spark, d).filter(F.col("id").endswith("7"))
-    return wanted.unionByName(found).select("log_id", "run_line", "id", "status", "hidden_text", "classification", "turnover")
+    """One run with its results, looked up over the whole log."""
+    begun = X.table(spark, d, "events").filter("event_type = 'signup' and event_id % 40 <> 7")
+    found = R.run_by_id(_with_results(spark, d), f"r{begun.agg(F.min('event_id')).first()[0]}")
+    return found.select("log_id", "run_line", "id", "status", "hidden_text", "classification", "turnover")
 
 
 _LAST = """SELECT log_id, run_line, arg_max(result, line_no) FILTER (result_kind = 'hidden_text') AS hidden_text,
     arg_max(result, line_no) FILTER (result_kind = 'classification') AS classification,
     arg_max(result, line_no) FILTER (result_kind = 'turnover') AS turnover FROM ({assigned}) GROUP BY log_id, run_line"""
 _FULL = f"SELECT r.*, hidden_text, classification, turnover FROM ({_RUNS}) r LEFT JOIN ({_LAST.format(assigned=_ASSIGNED)}) l ON l.log_id = r.log_id AND l.run_line = r.run_line"
-J7 = f"""{_WALK}, found AS ({_FULL}) SELECT log_id, run_line, id, status, hidden_text, classification, turnover FROM found WHERE id LIKE '%7'
-    UNION ALL SELECT log_id, run_line, id, status, hidden_text, classification, turnover FROM found WHERE id = 'r79'"""
+J7 = f"""{_WALK}, found AS ({_FULL}) SELECT log_id, run_line, id, status, hidden_text, classification, turnover FROM found
+    WHERE id = (SELECT concat('r', min(event_id)) FROM events WHERE event_type = 'signup' AND event_id % 40 <> 7)"""
+
+
+def j7_runs_with_results(spark, d):
+    """Every run with its results."""
+    return _with_results(spark, d).select("log_id", "run_line", "id", "status", "hidden_text", "classification", "turnover")
+
+
+J7_ALL = f"""{_WALK}, found AS ({_FULL}) SELECT log_id, run_line, id, status, hidden_text, classification, turnover FROM found"""
 
 
 def j8_batch_run_summary(spark, d):
@@ -141,7 +149,7 @@ J8 = f"""{_WALK}, found AS ({_FULL}), files AS (SELECT *, CASE WHEN status = 'co
         count(*) FILTER (status = 'completed' AND contains(turnover, 'false')) AS will_stay FROM files GROUP BY log_id, parent_line) f
         ON f.log_id = b.log_id AND f.parent_line = b.run_line
     LEFT JOIN (SELECT log_id, parent_line, string_agg(concat(category, ':', n), ',' ORDER BY n DESC, category) AS top_categories FROM (
-        SELECT log_id, parent_line, category, count(*) AS n FROM files WHERE category IS NOT NULL AND category <> '' GROUP BY ALL
+        SELECT log_id, parent_line, category, count(*) AS n FROM files WHERE category IS NOT NULL AND category <> '' GROUP BY log_id, parent_line, category
         QUALIFY row_number() OVER (PARTITION BY log_id, parent_line ORDER BY n DESC, category) <= 3) GROUP BY log_id, parent_line) t
         ON t.log_id = b.log_id AND t.parent_line = b.run_line"""
 
@@ -215,6 +223,7 @@ QUERIES = {
     "j5_run_status": j5_run_status,
     "j6_latest_runs": j6_latest_runs,
     "j7_run_by_id": j7_run_by_id,
+    "j7_runs_with_results": j7_runs_with_results,
     "j8_batch_run_summary": j8_batch_run_summary,
     "j9_stream_runs": j9_stream_runs,
     "j10_stream_batch_counts": j10_stream_batch_counts,
@@ -231,6 +240,7 @@ ORACLE = {
         "j5_run_status": J5,
         "j6_latest_runs": J6,
         "j7_run_by_id": J7,
+        "j7_runs_with_results": J7_ALL,
         "j8_batch_run_summary": J8,
         "j9_stream_runs": J9,
         "j10_stream_batch_counts": J10,
