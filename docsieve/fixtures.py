@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.session import spread
+from docsieve.session import small_table, spread
 
 AS_OF = "2002-01-15"
 SPAN_ORDER = ("page", "pk", "px")
@@ -227,15 +227,15 @@ def job_rows() -> list[tuple]:
 
 
 def job_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(job_rows(), LEXICON_SCHEMA)
+    return small_table(spark, job_rows(), LEXICON_SCHEMA)
 
 
 def language_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(language_rows(), LEXICON_SCHEMA)
+    return small_table(spark, language_rows(), LEXICON_SCHEMA)
 
 
 def product_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(product_rows(), LEXICON_SCHEMA)
+    return small_table(spark, product_rows(), LEXICON_SCHEMA)
 
 
 # --- the same as CTEs -----------------------------------------------------------------------------------------------

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.session import small_table
+
 MAX_LITERAL_TERMS = 2000
 
 
@@ -59,6 +61,6 @@ def union_terms(lexicon: DataFrame, categories: dict[str, list[str]] | None = No
         chosen = lexicon.filter(wanted)
     terms = chosen.select(F.lower("term").alias("term"))
     if extra:
-        more = lexicon.sparkSession.createDataFrame([(t.lower(),) for t in extra], "term string")
+        more = small_table(lexicon.sparkSession, [(t.lower(),) for t in extra], "term string")
         terms = terms.unionByName(more)
     return terms.distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.operators.employment import FEATURES
+from docsieve.session import small_table
 
 # Feature weights per model type; the last two features are weighed but never scored.
 WEIGHTED = (*FEATURES, "industry_stability", "career_progression")
@@ -27,7 +28,7 @@ def turnover_weights(spark: SparkSession, model_type: str | None = None) -> Data
     """``model_type, feature, weight`` with weights that add up to one."""
     types = [model_type] if model_type else list(BASE_WEIGHTS)
     rows = [(t, f, w) for t in types for f, w in weights_of(t).items()]
-    return spark.createDataFrame(rows, "model_type string, feature string, weight double")
+    return small_table(spark, rows, "model_type string, feature string, weight double")
 
 
 def feature_stats(features: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ RECOMMENDATIONS = {
 
 def recommendations_table(spark: SparkSession) -> DataFrame:
     rows = [(level, i, text) for level, texts in RECOMMENDATIONS.items() for i, text in enumerate(texts, 1)]
-    return spark.createDataFrame(rows, "risk_level string, item int, recommendation string")
+    return small_table(spark, rows, "risk_level string, item int, recommendation string")
 
 
 def risk_recommendations(scored: DataFrame, key: str = "doc_id") -> DataFrame:

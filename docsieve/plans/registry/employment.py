@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve import fixtures as X
-from docsieve.functions.dates import parse_range
+from docsieve.functions.dates import with_parsed_range
 from docsieve.functions.matching import EMPLOYMENT_RANGE, matches
 from docsieve.operators import employment as E
 from docsieve.operators import turnover as T
@@ -98,10 +98,8 @@ def _ranges(spark, d):
 
 
 def f2_parse_range(spark, d):
-    parsed = _ranges(spark, d).select(KEY, "no", "form", "range", parse_range("range", F.lit(X.AS_OF).cast("date")).alias("p"))
-    return parsed.select(KEY, *_b("no", "form"), "range", "p.*").select(
-        KEY, "no", "form", "range", *_d("start_date", "end_date"), *_b("duration_months"), "is_current"
-    )
+    parsed = with_parsed_range(_ranges(spark, d), "range", F.lit(X.AS_OF).cast("date"))
+    return parsed.select(KEY, *_b("no", "form"), "range", *_d("start_date", "end_date"), *_b("duration_months"), "is_current")
 
 
 _FORMS = f"""SELECT candidate_id, match_no AS no, CAST(f - 1 AS BIGINT) AS form, forms[f] AS range FROM (

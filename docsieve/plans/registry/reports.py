@@ -117,7 +117,7 @@ def a11_export_result(spark, d):
 
 
 def i2_batch_summary_rows(spark, d):
-    return P.batch_summary_rows(analysed(spark, d))
+    return P.batch_summary_rows(analysed(spark, d, ("hidden", "category", "turnover")))
 
 
 I2 = """SELECT doc_id, concat(doc_id, '.pdf') AS file, predicted_category AS category, CASE WHEN has_hidden THEN 'Yes' ELSE 'No' END AS hidden_text,
@@ -143,7 +143,7 @@ I3_EMPTY = """SELECT count(*) AS documents, count(*) AS with_hidden, count(*) AS
 
 
 def i4_category_distribution(spark, d):
-    return P.category_distribution(analysed(spark, d)).select("category", "n", *_r("percentage"))
+    return P.category_distribution(analysed(spark, d, ("category",))).select("category", "n", *_r("percentage"))
 
 
 I4 = """SELECT predicted_category AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM results) * 100, 6) AS percentage
@@ -151,27 +151,27 @@ I4 = """SELECT predicted_category AS category, count(*) AS n, round(count(*) / (
 
 
 def i5_hidden_series(spark, d):
-    return P.hidden_series(analysed(spark, d)).select("doc_id", "file", *_r("hidden_percentage"))
+    return P.hidden_series(analysed(spark, d, ("hidden",))).select("doc_id", "file", *_r("hidden_percentage"))
 
 
 def i5_hidden_counts(spark, d):
-    return P.hidden_counts(analysed(spark, d))
+    return P.hidden_counts(analysed(spark, d, ("hidden",)))
 
 
 def i6_classification_series(spark, d):
-    return P.classification_series(analysed(spark, d)).select("doc_id", "file", "category", *_r("confidence"))
+    return P.classification_series(analysed(spark, d, ("category",))).select("doc_id", "file", "category", *_r("confidence"))
 
 
 def i6_classification_counts(spark, d):
-    return P.classification_counts(analysed(spark, d))
+    return P.classification_counts(analysed(spark, d, ("category",)))
 
 
 def i7_turnover_series(spark, d):
-    return P.turnover_series(analysed(spark, d)).select("doc_id", "file", "risk", *_r("probability"))
+    return P.turnover_series(analysed(spark, d, ("turnover",))).select("doc_id", "file", "risk", *_r("probability"))
 
 
 def i7_turnover_counts(spark, d):
-    return P.turnover_counts(analysed(spark, d))
+    return P.turnover_counts(analysed(spark, d, ("turnover",)))
 
 
 def i8_probability_ranking(spark, d):
@@ -208,7 +208,7 @@ def _metrics_sql(average: bool) -> str:
 
 
 def i10_document_summary(spark, d):
-    return P.document_summary(analysed(spark, d))
+    return P.document_summary(analysed(spark, d, ("hidden", "category", "turnover")))
 
 
 I10 = """SELECT doc_id, CASE WHEN has_hidden THEN 'Detected' ELSE 'None Detected' END AS hidden_text, round(hidden_percentage, 1) AS hidden_pct,
@@ -217,7 +217,7 @@ I10 = """SELECT doc_id, CASE WHEN has_hidden THEN 'Detected' ELSE 'None Detected
 
 
 def i11_detection_summary(spark, d):
-    return P.detection_summary(analysed(spark, d))
+    return P.detection_summary(analysed(spark, d, ("hidden",)))
 
 
 I11 = """SELECT doc_id, concat(doc_id, '.pdf') AS file, CASE WHEN has_hidden THEN 'Yes' ELSE 'No' END AS hidden_text, round(hidden_percentage, 2) AS hidden_pct,

@@ -8,6 +8,7 @@ from docsieve import fixtures as X
 from docsieve.functions import matching as R
 from docsieve.functions import text as T
 from docsieve.operators.terms import normalise_terms
+from docsieve.session import small_table
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _PUNCT = T.PUNCTUATION.replace("'", "''")
@@ -42,7 +43,7 @@ B2_SQL = f"""SELECT doc_id, array_to_string(list_filter({_WORDS.format(c='clean'
 
 
 def b3_normalise_terms(spark, d):
-    lemmas = spark.createDataFrame(list(X.LEMMAS.items()), "form string, lemma string")
+    lemmas = small_table(spark, list(X.LEMMAS.items()), "form string, lemma string")
     tokens = _documents(spark, d).select("doc_id", T.words(T.clean_text("text")).alias("tokens"))
     return normalise_terms(tokens, lemmas).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "docsieve") -> SparkSession:
@@ -42,3 +44,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Gives every core a share of a table that comes in fewer pieces than there are cores; larger ones stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that is part of the plan, so that reading it starts no job."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    types = [field.split()[1] for field in schema.split(", ")]
+    table = pa.table({name: list(values) for name, values in zip(names, zip(*rows))})
+    return spark.createDataFrame(table).select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
