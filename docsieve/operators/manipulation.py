@@ -291,7 +291,14 @@ def entity_mismatches(entities: DataFrame, threshold: float = 0.8, labels: Seque
 
 
 def _similar_sets(left: DataFrame, right: DataFrame, key: list[str], threshold: float) -> DataFrame:
-    """The left sets with a right set of at least ``threshold`` Jaccard similarity."""
+    """The left sets with a different right set of at least ``threshold`` Jaccard similarity.
+
+    Different sets reach at most n / (n + 1), n being the smaller size, so smaller sets than that allows are left out.
+    """
+    if threshold >= 1:
+        return left.limit(0)
+    large = F.size("tokens") >= threshold / (1 - threshold) - 1e-9
+    left, right = left.filter(large), right.filter(large)
     both = left.withColumn("s", F.lit("l")).unionByName(right.withColumn("s", F.lit("r")))
     spread = both.select(*key, "s", "tokens", F.explode("tokens").alias("token"))
     frequency = spread.groupBy(*key, "token").agg(F.count("*").alias("f"))
