@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docsieve.operators.runs import CLOSED, advance, parse_marker, parse_result, route_result
+from docsieve.operators.runs import advance, parse_marker, parse_result, route_result
 
 _OUT = (
     "log_id bigint, run_line bigint, id string, mode string, parent_line bigint, status string, "
