@@ -32,6 +32,7 @@ def _follow(timeout_ms: int):
         """Open runs of one log are the whole state; every run that ends or is replaced is given out once."""
         log_id = int(key[0])
         top, child = state.get if state.exists else (None, None)
+        latest = 0
         out = []
 
         def leave(run, status: str, end: str | None = None) -> None:
@@ -46,6 +47,7 @@ def _follow(timeout_ms: int):
             state.remove()
         else:
             for pdf in batches:
+                latest = max(latest, int(pdf["at_ms"].max()))
                 for row in pdf.sort_values("line_no").itertuples(index=False):
                     at = tuple((r[0], r[1]) if r is not None else (None, None) for r in (top, child))
                     after, (parent, closes, status) = advance(at, row.kind, row.id, row.mode, row.line_no)
@@ -63,7 +65,8 @@ def _follow(timeout_ms: int):
                     state.remove()
             else:
                 state.update((top, child))
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + timeout_ms)
+                # Counted from the log's own last marker: the watermark is still at zero in the first micro-batch.
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), latest) + timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype(
                 {"parent_line": "Int64", "duration_seconds": "Int64"}
@@ -78,7 +81,8 @@ def stream_runs(lines: DataFrame, delay: str = "1 hour", timeout: str = "7 days"
     Lines of one log must arrive in order within a micro-batch sequence; lines older than the watermark are dropped.
     """
     markers = parse_marker(lines.withWatermark("ts", delay)).filter("kind is not null")
-    chosen = markers.select("log_id", "line_no", "ts", "kind", "id", "mode", "timestamp")
+    at = F.unix_millis("ts").alias("at_ms")
+    chosen = markers.select("log_id", "line_no", "ts", at, "kind", "id", "mode", "timestamp")
     timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     return chosen.groupBy("log_id").applyInPandasWithState(
         _follow(timeout_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
