@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docsieve.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding, substring_dedup
+from docsieve.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op3_drop_repeated_passages": substring_dedup.op3,
+    "op4_toxicity": toxicity.op4,
     "op5_near_dedup": near_dedup.op5,
     "op8_mix_sources": mixing.op8,
     "op9_exact_dedup": exact_dedup.op9,
