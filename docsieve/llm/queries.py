@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docsieve.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
+from docsieve.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
+    "op2_nearest_neighbours": ann.op2,
     "op3_drop_repeated_passages": substring_dedup.op3,
     "op4_toxicity": toxicity.op4,
     "op5_near_dedup": near_dedup.op5,
