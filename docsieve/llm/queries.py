@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsieve.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity
+from docsieve.llm import ann, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_drop_repeated_passages": substring_dedup.op3,
     "op4_toxicity": toxicity.op4,
     "op5_near_dedup": near_dedup.op5,
+    "op6_lm_scores": lm_score.op6,
     "op7_sentence_pieces": pieces.op7,
     "op8_mix_sources": mixing.op8,
     "op9_exact_dedup": exact_dedup.op9,
