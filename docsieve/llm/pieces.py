@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.llm import grams
 from docsieve.llm.common import table
@@ -262,8 +263,8 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, check: bool = True) -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
     rows = docs.select(F.struct("*").alias("doc"), "text")
-    out = f"doc {rows.schema['doc'].dataType.simpleString()}, n_pieces long, piece_ids array<int>, round_trip boolean"
-    return rows.mapInArrow(_encode(shared, check), out)
+    added = [("n_pieces", T.LongType()), ("piece_ids", T.ArrayType(T.IntegerType())), ("round_trip", T.BooleanType())]
+    return rows.mapInArrow(_encode(shared, check), T.StructType([rows.schema["doc"], *(T.StructField(*a) for a in added)]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

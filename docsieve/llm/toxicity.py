@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.llm import grams
 from docsieve.llm.common import table
@@ -113,14 +114,14 @@ def fit(
     labelled: DataFrame,
     identity_terms: Sequence[str] = IDENTITY_TERMS,
     max_features: int = 4096,
-    min_support: int = 4,
+    min_surprise: float = 25.0,
     penalty: float = 50.0,
     ridge: float = 0.02,
     steps: int = 600,
 ) -> Model:
     """Fits on (text, toxic), a bounded number of rows.
 
-    Places are chosen by how much oftener toxic texts hold them (a z score); the terms' own places always take part. The
+    Places are chosen by how unevenly toxic and other texts hold them (twice the log likelihood ratio); the terms' own places always take part. The
     loss is the mean log loss, with both labels weighing alike once half of the imbalance is taken out, plus for each labelled
     sentence that names a group the squared change of its score when the name is swapped for each other name or for
     a neutral word. The model being linear in words, a swap changes a sentence's score by the difference of the names'
@@ -131,10 +132,11 @@ def fit(
     if len(sizes) < 2:  # nothing to tell apart: the share of toxic texts is every text's score
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return Model(np.zeros(1 << WIDTH_BITS), math.log(share / (1 - share)))
-    a, b = F.col("toxic") + 0.1, F.col("clean") + 0.1
-    z = (F.log(a / sizes[1]) - F.log(b / sizes[0])) / F.sqrt(1 / a + 1 / b)
-    held = support.filter(F.col("toxic") + F.col("clean") >= min_support)
-    best = held.withColumn("z", z).filter(F.abs("z") >= 3).orderBy(F.desc(F.abs("z")), "place").limit(max_features)
+    share = sizes[1] / (sizes[0] + sizes[1])
+    both = F.col("toxic") + F.col("clean")
+    part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * p))).otherwise(0.0)
+    held = support.withColumn("surprise", 2 * (part("toxic", share) + part("clean", 1 - share)))
+    best = held.filter(F.col("surprise") >= min_surprise).orderBy(F.desc("surprise"), "place").limit(max_features)
     terms = term_features(identity_terms)
     chosen = np.unique(np.concatenate([np.array([r["place"] for r in best.select("place").collect()], np.int64), *terms]))
 
@@ -203,7 +205,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc (the row's columns), score. Any text has a score: an empty or null one that of a text without known words."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     rows = docs.select(F.struct("*").alias("doc"), "text")
-    return rows.mapInArrow(_scores(shared), f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(_scores(shared), T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
