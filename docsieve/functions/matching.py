@@ -54,29 +54,35 @@ JOB_TITLES = (
 COMPANIES = tuple(rf"(?U){word} ((?:[A-Z][a-zA-Z]*\s*){{1,3}})" for word in ("at", "with", "for"))
 
 
+#: Distances of the doubling steps below; the largest exceeds the number of characters of any string.
+_STEPS = [1 << k for k in range(31)]
+
+
+def running_sums(values: Column) -> Column:
+    """Inclusive running sums of an array of longs by doubling: n log n additions, no array grows element by element."""
+    steps = F.filter(F.array(*[F.lit(d) for d in _STEPS]), lambda d: d < F.size(values))
+    return F.aggregate(
+        steps, values, lambda sums, d: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - d), F.lit(0).cast("bigint")))
+    )
+
+
 def matches(c: Column | str, pattern: str) -> Column:
     """array<struct<offset (0-based), text>> of every match, left to right.
 
     The parts between the matches and the matches themselves add up to the offsets.
     """
     t = _col(c)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    parts = F.split(t, pattern, -1)
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,text:string>>").alias("out")
-    )
+    once = F.array(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("parts")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        offset = acc["at"] + F.length(pair["part"])
-        item = F.struct(offset.alias("offset"), pair["text"].alias("text"))
-        return F.struct(
-            (offset + F.length(pair["text"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out")
-        )
+    def summed(x: Column) -> Column:
+        sizes = F.zip_with(F.slice(x["parts"], 1, F.size(x["found"])), x["found"], lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
+        return F.struct(x["found"].alias("found"), F.transform(F.array(sizes), running_sums)[0].alias("ends"))
 
-    pairs = F.zip_with(
-        F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("part"), m.alias("text"))
-    )
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(x: Column) -> Column:
+        item = lambda m, end: F.struct((end - F.length(m)).cast("int").alias("offset"), m.alias("text"))
+        return F.zip_with(x["found"], x["ends"], item)
+
+    return F.transform(F.transform(once, summed), placed)[0]
 
 
 def around(c: Column | str, offset: Column, length: Column, left: int = 100, right: int = 100) -> Column:

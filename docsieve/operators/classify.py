@@ -78,14 +78,10 @@ def score_categories(texts: DataFrame, lexicon: DataFrame, column: str = "text")
     return with_probabilities(scored)
 
 
-def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
-    """The same scores for a lexicon of any size; ``texts`` needs a ``doc_id``.
-
-    An equi-join of word beginnings with the keywords finds which keywords a document has; only those are then scored.
-    """
-    terms = lexicon.select("category", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
-    lengths = [r.n for r in terms.select(F.length("term").alias("n")).distinct().orderBy("n").collect()]
-    longest = max(lengths)
+def _terms_in(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
+    """``doc_id`` and the lexicon rows whose term starts at a word of the text, by an equi-join of word beginnings."""
+    lengths = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
+    longest = max(lengths, default=1)
     parts = texts.select("doc_id", F.split(_padded(column), " ", -1).alias("parts"))
     # A keyword of n characters spans at most n parts, so a beginning is cut from that many.
     beginnings = F.transform(
@@ -93,8 +89,17 @@ def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str =
         lambda i: F.substring(F.array_join(F.slice("parts", i, longest), " "), 1, longest),
     )
     heads = parts.filter(F.size("parts") > 2).select("doc_id", F.explode(F.array_distinct(beginnings)).alias("head"))
-    prefixes = F.array_distinct(F.array(*[F.substring("head", 1, n) for n in lengths]))
-    found = heads.select("doc_id", F.explode(prefixes).alias("term")).distinct().join(terms, "term")
+    prefixes = F.array_distinct(F.array(*[F.substring("head", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    return heads.select("doc_id", F.explode(prefixes).alias("term")).distinct().join(terms, "term")
+
+
+def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """The same scores for a lexicon of any size; ``texts`` needs a ``doc_id``.
+
+    Only the keywords that a document has are scored.
+    """
+    terms = lexicon.select("category", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
+    found = _terms_in(texts, terms, column)
     matched = (
         found.groupBy("doc_id", "category")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "term", "weight"))).alias("terms"))
@@ -139,14 +144,28 @@ def predict_category(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"predicted_category": best["category"], "confidence": best["prob"]})
 
 
+def _filled(ranked: DataFrame, fallback: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``influential`` from ``_best``: with fewer than three, the category's fallback terms fill up."""
+    pairs = [p for k, v in fallback.items() for p in (F.lit(k), F.array(*[F.lit(x) for x in v]))]
+    spare = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+    extra = F.filter(
+        F.coalesce(F.try_element_at(spare, F.col("predicted_category")), F.array().cast("array<string>")),
+        lambda x: ~F.array_contains("_best", x),
+    )
+    filled = F.when(F.size("_best") < ENOUGH, F.slice(F.concat("_best", extra), 1, KEPT)).otherwise(F.col("_best"))
+    return ranked.withColumn("influential", filled).drop("_best")
+
+
 def influential_terms(
     predicted: DataFrame, lexicon: DataFrame, fallback: Mapping[str, Sequence[str]], column: str = "text"
 ) -> DataFrame:
     """``influential``: the terms that speak for the prediction, strongest first.
 
     Own terms are weighed by position; with fewer than three, terms of other categories join at a reduced weight, and
-    with still fewer than three the category's fallback terms fill up.
+    with still fewer than three the category's fallback terms fill up. A lexicon too large for an expression is joined.
     """
+    if not fits(lexicon):
+        return influential_terms_by_join(predicted, lexicon, fallback, column)
     t = F.col("_t")
     terms = F.flatten(
         F.transform(
@@ -157,37 +176,54 @@ def influential_terms(
         )
     )
 
-    def present(x: Column) -> Column:
-        start = F.concat(F.lit(" "), x["term"])
-        return F.contains(t, F.concat(start, F.lit(" "))) | F.contains(t, F.concat(start, F.lit("s ")))
-
-    def own(x: Column) -> Column:
-        at = F.instr(t, F.concat(F.lit(" "), x["term"])) - 1
-        return x["weight"] * (OWN_BASE + OWN_POSITION * (1 - at / F.length(t)))
-
     def ranked(hits: Column, weight) -> Column:
         return F.transform(hits, lambda x: F.struct((-weight(x)).alias("w"), x["term"].alias("term")))
 
     mine = F.col("predicted_category")
-    found = predicted.withColumn("_t", _padded(column)).withColumn("_hits", F.filter(terms, present))
-    own_hits = ranked(F.filter("_hits", lambda x: x["category"] == mine), own)
+    found = predicted.withColumn("_t", _padded(column)).withColumn("_hits", F.filter(terms, lambda x: _present(t, x["term"])))
+    own_hits = ranked(F.filter("_hits", lambda x: x["category"] == mine), lambda x: _own_weight(t, x["term"], x["weight"]))
     foreign = ranked(F.filter("_hits", lambda x: x["category"] != mine), lambda x: x["weight"] * FOREIGN)
     listed = F.when(F.size("_own") < ENOUGH, F.concat("_own", foreign)).otherwise(F.col("_own"))
     numbered = F.transform(listed, lambda x, i: F.struct(x["w"].alias("w"), i.alias("i"), x["term"].alias("term")))
     best = F.transform(F.slice(F.array_sort(numbered), 1, KEPT), lambda x: x["term"])
-    pairs = [p for k, v in fallback.items() for p in (F.lit(k), F.array(*[F.lit(x) for x in v]))]
-    spare = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
-    extra = F.filter(
-        F.coalesce(F.try_element_at(spare, mine), F.array().cast("array<string>")),
-        lambda x: ~F.array_contains("_best", x),
-    )
-    filled = F.when(F.size("_best") < ENOUGH, F.slice(F.concat("_best", extra), 1, KEPT)).otherwise(F.col("_best"))
-    return (
-        found.withColumn("_own", own_hits)
-        .withColumn("_best", best)
-        .withColumn("influential", filled)
-        .drop("_t", "_hits", "_own", "_best")
-    )
+    return _filled(found.withColumn("_own", own_hits).withColumn("_best", best).drop("_t", "_hits", "_own"), fallback)
+
+
+def _present(t: Column, term: Column) -> Column:
+    """As a word of its own, or with an s."""
+    start = F.concat(F.lit(" "), term)
+    return F.contains(t, F.concat(start, F.lit(" "))) | F.contains(t, F.concat(start, F.lit("s ")))
+
+
+def _own_weight(t: Column, term: Column, weight: Column) -> Column:
+    at = F.instr(t, F.concat(F.lit(" "), term)) - 1
+    return weight * (OWN_BASE + OWN_POSITION * (1 - at / F.length(t)))
+
+
+def influential_terms_by_join(
+    predicted: DataFrame, lexicon: DataFrame, fallback: Mapping[str, Sequence[str]], column: str = "text"
+) -> DataFrame:
+    """The same terms for a lexicon of any size; ``predicted`` needs a ``doc_id``.
+
+    A document's terms are ranked where they meet; as many as its words at most, of which ten are kept.
+    """
+    terms = lexicon.select("category", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
+    order = terms.groupBy("category").agg(F.min("ord").alias("_category_ord"))
+    texts = predicted.select("doc_id", "predicted_category", _padded(column).alias("_t"))
+    found = _terms_in(predicted, terms.join(order, "category"), column).join(texts, "doc_id").filter(_present(F.col("_t"), F.col("term")))
+    own = F.col("category") == F.col("predicted_category")
+    weighed = found.select(
+        "doc_id", "term", "_category_ord", "ord", own.alias("_own"),
+        F.when(own, _own_weight(F.col("_t"), F.col("term"), F.col("weight"))).otherwise(F.col("weight") * FOREIGN).alias("_w"),
+    )
+    own_count = F.sum(F.col("_own").cast("int")).over(Window.partitionBy("doc_id"))
+    strongest = Window.partitionBy("doc_id").orderBy(F.desc("_w"), F.desc("_own"), "_category_ord", "ord")
+    counted = weighed.withColumn("_owns", own_count).filter(F.col("_own") | (F.col("_owns") < ENOUGH))
+    kept = counted.withColumn("_rank", F.row_number().over(strongest)).filter(F.col("_rank") <= KEPT)
+    best = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "term"))).alias("_ranked"))
+    joined = predicted.join(best, "doc_id", "left")
+    named = F.coalesce(F.transform("_ranked", lambda x: x["term"]), F.array().cast("array<string>"))
+    return _filled(joined.withColumn("_best", named).drop("_ranked"), fallback)
 
 
 def adjust_confidence(confidence: Column | str, influential: Column | str) -> Column:
@@ -212,11 +248,7 @@ def batch_predict(
             F.array().cast("array<string>").alias("influential"),
             F.lit(None).cast("string").alias("error"),
         )
-    scored = predict_category(score_categories(texts, lexicon, column))
-    if fits(lexicon):
-        scored = influential_terms(scored, lexicon, fallback or {}, column)
-    else:
-        scored = scored.withColumn("influential", F.array().cast("array<string>"))
+    scored = influential_terms(predict_category(score_categories(texts, lexicon, column)), lexicon, fallback or {}, column)
     bad = F.col(column).isNull()
     return scored.select(
         "doc_id",
@@ -226,8 +258,3 @@ def batch_predict(
         F.when(bad, "text is missing").alias("error"),
     )
 
-
-def rank_by_join(scored: DataFrame) -> DataFrame:
-    """Arg-max over the long form, for scores that come as rows."""
-    best = Window.partitionBy("doc_id").orderBy(F.desc("prob"), "ord")
-    return scored.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank")

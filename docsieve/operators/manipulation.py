@@ -132,17 +132,18 @@ def match_phrases(texts: DataFrame, lexicon: DataFrame, column: str = "text", lo
     """Every token-sequence match of a lexicon phrase, overlaps included, counted per document and phrase.
 
     ``texts`` may be whole documents or chunks (``side, chunk``); chunk borders are bridged. Token runs meet the
-    lexicon in an equi-join, which Spark broadcasts only while the lexicon is small.
+    lexicon in an equi-join, which Spark broadcasts only while the lexicon is small. All lengths that occur are searched;
+    the driver reads one number for each. A lexicon without phrases matches nothing.
     """
     phrases = phrase_lexicon(lexicon).filter("len > 0")
     if longest is None:
-        lengths = [r.len for r in phrases.select("len").distinct().orderBy("len").limit(64).collect()]
+        lengths = sorted(r.len for r in phrases.select("len").distinct().collect())
     else:
         lengths = list(range(1, longest + 1))
     keys = [c for c in ("doc_id", "side") if c in texts.columns]
     tokens = texts.select(*keys, *[c for c in ("chunk",) if c in texts.columns], phrase_tokens(column).alias("tokens"))
     tokens = tokens.filter(F.size("tokens") > 0)
-    reach = max(lengths) - 1
+    reach = max(lengths, default=1) - 1
     run_source, starts = F.col("tokens"), None
     if "chunk" in texts.columns and reach > 0:
         tokens = with_following(
@@ -150,7 +151,7 @@ def match_phrases(texts: DataFrame, lexicon: DataFrame, column: str = "text", lo
         )
         run_source = F.when(F.col("next_tokens").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "next_tokens"))
         starts = F.size("tokens")
-    runs = F.flatten(F.array(*[contiguous(run_source, n, starts) for n in lengths]))
+    runs = F.flatten(F.array(*[contiguous(run_source, n, starts) for n in lengths])) if lengths else F.array().cast("array<string>")
     found = tokens.select(*keys, F.explode(runs).alias("phrase")).join(phrases, "phrase")
     return found.groupBy(*keys, "kind", "category", "phrase").agg(F.count("*").alias("n"))
 

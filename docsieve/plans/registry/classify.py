@@ -65,6 +65,27 @@ def e4_influential_terms(spark, d):
     return _influential(spark, d).select("doc_id", F.array_join("influential", ",").alias("terms"))
 
 
+def _large_lexicon(spark):
+    """The language lexicon and 2,500 terms that no text has: beyond what fits into an expression."""
+    filler = spark.range(2500).select(
+        F.lit("language").alias("kind"), F.element_at(F.array(*[F.lit(c) for c in ("en", "de", "fr", "es")]), (F.col("id") % 4 + 1).cast("int")).alias("category"),
+        F.concat(F.lit("zzq"), F.col("id").cast("string"), F.lit("xk")).alias("term"), F.lit(1.0).alias("weight"), (F.col("id") + 1000).cast("int").alias("ord"),
+    )
+    lexicon = X.language_lexicon(spark)
+    return lexicon.unionByName(filler.select(*[F.col(f.name).cast(f.dataType) for f in lexicon.select("kind", "category", "term", "weight", "ord").schema]), allowMissingColumns=True)
+
+
+def e4_influential_terms_large_lexicon(spark, d):
+    texts, lexicon = X.documents(spark, d), _large_lexicon(spark)
+    predicted = K.predict_category(K.score_categories(texts, lexicon))
+    return K.influential_terms(predicted, lexicon, X.LANGUAGE_FALLBACK).select("doc_id", F.array_join("influential", ",").alias("terms"))
+
+
+def e6_batch_predict_large_lexicon(spark, d):
+    predicted = K.batch_predict(_with_missing(spark, d), _large_lexicon(spark), X.LANGUAGE_FALLBACK)
+    return predicted.select("doc_id", "predicted_category", F.round("confidence", 6).alias("confidence"), "error")
+
+
 _FALLBACK = "CASE predicted_category " + " ".join(
     f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in X.LANGUAGE_FALLBACK.items()
 ) + " ELSE [] END"
@@ -120,8 +141,10 @@ QUERIES = {
     "e2_category_probabilities": e2_category_probabilities,
     "e3_predict_category": e3_predict_category,
     "e4_influential_terms": e4_influential_terms,
+    "e4_influential_terms_large_lexicon": e4_influential_terms_large_lexicon,
     "e5_adjust_confidence": e5_adjust_confidence,
     "e6_batch_predict": e6_batch_predict,
+    "e6_batch_predict_large_lexicon": e6_batch_predict_large_lexicon,
     "e6_batch_predict_disabled": e6_batch_predict_disabled,
 }
 ORACLE = {
@@ -132,8 +155,10 @@ ORACLE = {
         "e2_category_probabilities": E2,
         "e3_predict_category": E3,
         "e4_influential_terms": E4,
+        "e4_influential_terms_large_lexicon": E4,
         "e5_adjust_confidence": E5,
         "e6_batch_predict": E6,
+        "e6_batch_predict_large_lexicon": E6,
         "e6_batch_predict_disabled": "SELECT doc_id, 'Unknown' AS predicted_category, 0::DOUBLE AS confidence FROM documents",
     }.items()
 }

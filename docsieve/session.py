@@ -26,9 +26,13 @@ def local_session(cpus: int = 8, app: str = "docsieve") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's shared checkpoint folder. Only a session on one machine may do without: it gets a fresh folder there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
