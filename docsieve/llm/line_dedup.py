@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import BLANKS, ascii_lower, hash128, hot_values, table, text_key, text_of
+from docsieve.session import cut_lineage
 
 #: Parts into which a hot line is dealt, and lines in a word of a bitmap.
 SALTS, BITS = 64, 64
@@ -31,7 +32,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = docs.select("doc_id", text_key(text).alias("_key"), F.posexplode(_lines(text)).alias("_pos", "_line"))
     lines = lines.withColumn("_line", F.btrim("_line", F.lit(BLANKS))).filter(F.char_length("_line") >= min_chars)
     h1, h2 = hash128(ascii_lower(F.col("_line")))
-    lines = lines.select("doc_id", "_key", "_pos", h1.alias("_h1"), h2.alias("_h2"))
+    lines = cut_lineage(lines.select("doc_id", "_key", "_pos", h1.alias("_h1"), h2.alias("_h2")))  # read four times
     hot = F.col("_h1").isin(hot_values(lines, "_h1"))
     lines = lines.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0))
 
