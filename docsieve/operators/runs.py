@@ -130,11 +130,12 @@ def _bucket(lines: int = LINES_PER_BUCKET) -> Column:
     return F.floor(F.col("line_no") / lines)
 
 
-def independent_segments(markers: DataFrame, within_batches: bool = False) -> DataFrame:
+def independent_segments(markers: DataFrame, within_batches: bool = True) -> DataFrame:
     """``segment``: pieces of a log that do not depend on each other, so that one long log is worked on by many tasks.
 
     A batch marker replaces whatever was open, so every batch starts a segment. With ``within_batches`` a run that
-    begins when every earlier one has ended starts one too; this costs more passes and serves logs without batches.
+    begins when every earlier one has ended starts one too, so a log of single analyses is not one piece. Only a log
+    known to consist of batches may do without those passes.
     """
     order, bucket = [F.col("line_no")], _bucket()
     batch = (F.col("kind") == "begin") & ~F.col("mode").eqNullSafe("analyze")
@@ -158,7 +159,7 @@ def independent_segments(markers: DataFrame, within_batches: bool = False) -> Da
     return running(depth, ["log_id"], order, bucket, {"segment": fresh.cast("bigint")}).drop("batch_no", "depth")
 
 
-def assign_markers(lines: DataFrame, within_batches: bool = False) -> DataFrame:
+def assign_markers(lines: DataFrame, within_batches: bool = True) -> DataFrame:
     """Every marker with the run it begins or ends, and the run open after it."""
     markers = parse_marker(lines).filter("kind is not null").select("log_id", "line_no", "kind", *MARKER_KEYS)
     segmented = independent_segments(markers, within_batches)

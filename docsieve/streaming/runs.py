@@ -46,9 +46,11 @@ def _follow(timeout_ms: int):
                     leave(run, "running")
             state.remove()
         else:
-            for pdf in batches:
-                latest = max(latest, int(pdf["at_ms"].max()))
-                for row in pdf.sort_values("line_no").itertuples(index=False):
+            # Arrow cuts a log's lines of a micro-batch where it likes; their order counts over the cuts
+            arrived = pd.concat(list(batches)).sort_values("line_no")
+            if len(arrived):
+                latest = max(latest, int(arrived["at_ms"].max()))
+                for row in arrived.itertuples(index=False):
                     at = tuple((r[0], r[1]) if r is not None else (None, None) for r in (top, child))
                     after, (parent, closes, status) = advance(at, row.kind, row.id, row.mode, row.line_no)
                     begun = (row.line_no, row.id, row.mode, parent, row.timestamp)
@@ -78,7 +80,8 @@ def _follow(timeout_ms: int):
 def stream_runs(lines: DataFrame, delay: str = "1 hour", timeout: str = "7 days") -> DataFrame:
     """Finished runs of a stream of ``log_id, line_no, ts, line``; runs left open are given as running on timeout.
 
-    Lines of one log must arrive in order within a micro-batch sequence; lines older than the watermark are dropped.
+    Lines of one log may come in any order within a micro-batch, and micro-batches in order; lines older than the watermark
+    are dropped. A task holds the markers that one log has in one micro-batch.
     """
     markers = parse_marker(lines.withWatermark("ts", delay)).filter("kind is not null")
     at = F.unix_millis("ts").alias("at_ms")

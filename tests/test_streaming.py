@@ -27,3 +27,22 @@ def test_runs_over_micro_batches(spark, tmp_path):
         query.awaitTermination()
     rows = {r.id: (r.status, r.parent_line, r.duration_seconds) for r in spark.read.parquet(str(out)).collect()}
     assert rows == {"a": ("completed", None, 180), "b": ("completed", 1, 60), "x": ("running", None, None)}
+
+
+def test_order_counts_over_arrow_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        lines = [(7, n, "2024-01-01 00:00:00", f"<{'END' if n > 20 else 'BEGIN'} ANALYSIS id:{'a' if n in (1, 40) else f'f{min(n, 41 - n)}'} "
+                  f"mode:{'batch' if n == 1 else 'analyze'} timestamp:20240101_0000{n:02d}>") for n in (1, 20, 21, 40)]
+        late = [(8, 1, "2024-03-01 00:00:00", "<END ANALYSIS id:none timestamp:0>")]
+        spark.createDataFrame(lines[::-1] + late, "log_id long, line_no long, ts string, line string").coalesce(1).write.json(str(tmp_path / "in"))
+        query = (
+            stream_runs(stream_run_log(spark, str(tmp_path / "in")))
+            .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        rows = {r.id: (r.status, r.parent_line, r.duration_seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert rows == {"a": ("completed", None, 39), "f20": ("completed", 1, 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
