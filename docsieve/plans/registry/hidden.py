@@ -307,14 +307,16 @@ REPEATED = rf"""SELECT doc_id, min("offset") AS "offset" FROM (
 
 
 def d9_pattern_verdict(spark, d):
+    """All five families; repeated words count at any length, as in ``d8_repeated_words``."""
     docs = X.pattern_docs(spark, d)
-    found = M.suspicious_patterns(docs).filter("pattern <> 'repeated_word'")
+    found = M.suspicious_patterns(docs, min_length=0).filter("length > 10 or pattern = 'repeated_word'")
     verdict = M.pattern_verdict(docs, found)
     return verdict.select("doc_id", "method", "suspicious", *_r("confidence"), "n")
 
 
 D9 = f"""SELECT doc_id, 'patterns' AS method, coalesce(n, 0) >= 1 AS suspicious, round(least(1.0::DOUBLE, coalesce(n, 0) / 3), 6) AS confidence,
-    coalesce(n, 0) AS n FROM pattern_docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({PATTERNS}) GROUP BY doc_id) USING (doc_id)"""
+    coalesce(n, 0) AS n FROM pattern_docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM (
+    SELECT doc_id FROM ({PATTERNS}) UNION ALL SELECT doc_id FROM ({REPEATED})) GROUP BY doc_id) USING (doc_id)"""
 
 
 # --- vectors and intent ---------------------------------------------------------------------------------------------
@@ -384,9 +386,12 @@ D12 = f"""SELECT doc_id, 'intent' AS method, top_label = 'keyword stuffing' AS s
 
 
 def _gazetteer(spark, d):
-    """Chosen lexicon categories, extra words, and the names of the cheapest parts (a table that grows with the data)."""
+    """Chosen lexicon categories, extra words, and the names of parts that cost less than average, from the whole table."""
     chosen = union_terms(X.product_lexicon(spark), {"skill": ["size"], "industry": ["part"]}, ["Anvil", "GREEN"])
-    cheap = X.table(spark, d, "part").filter("p_partkey % 97 = 0").select(F.lower("p_name").alias("term"))
+    parts = X.table(spark, d, "part")
+    mean = parts.agg(F.avg("p_retailprice").alias("mean")).scalar()
+    named = parts.groupBy(F.lower("p_name").alias("term")).agg(F.avg("p_retailprice").alias("price"))
+    cheap = named.filter(F.col("price") < mean).select("term")
     return chosen.unionByName(cheap).distinct()
 
 
@@ -395,7 +400,8 @@ def d13_build_gazetteer(spark, d):
 
 
 GAZETTEER = """SELECT lower(term) AS term FROM product_lexicon WHERE (kind = 'skill' AND category = 'size') OR (kind = 'industry' AND category = 'part')
-    UNION SELECT unnest(['anvil', 'green']) UNION SELECT lower(p_name) FROM part WHERE p_partkey % 97 = 0"""
+    UNION SELECT unnest(['anvil', 'green']) UNION SELECT lower(p_name) FROM part GROUP BY lower(p_name)
+        HAVING avg(p_retailprice) < (SELECT avg(p_retailprice) FROM part)"""
 
 
 def d14_drop_gazetteer_entities(spark, d):
