@@ -21,11 +21,6 @@ def with_errors(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("error", message)
 
 
-def split_errors(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The good rows and the error rows."""
-    return checked.filter("error is null").drop("error"), checked.filter("error is not null")
-
-
 def document_errors(documents: DataFrame, types: tuple[str, ...] = SUPPORTED) -> DataFrame:
     return with_errors(
         documents,

@@ -48,10 +48,14 @@ def parse_marker(lines: DataFrame) -> DataFrame:
     return marked.withColumns({k: _value(F.col("_b"), k) for k in MARKER_KEYS}).drop("_l", "_b")
 
 
+# Fixed value: the quotes that become double quotes.
+LITERAL_QUOTE = r"(?<![a-zA-Z])'|'(?![a-zA-Z])"
+
+
 def repair_literal(line: Column | str) -> Column:
     """A Python literal as JSON text: quotes next to a non-letter become double quotes, constants JSON's."""
     line = F.col(line) if isinstance(line, str) else line
-    text = F.regexp_replace(strip(line), r"(?<![a-zA-Z])'|'(?![a-zA-Z])", '"')
+    text = F.regexp_replace(strip(line), LITERAL_QUOTE, '"')
     for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
         text = F.replace(text, F.lit(word), F.lit(json_word))
     return text

@@ -16,30 +16,6 @@ SPAN_ORDER = ("page", "span_no")
 WHITE = 240  # fixed value: every channel must exceed it
 PAGES_PER_CHUNK = 64
 
-# Words whose accumulation in hidden text counts as stuffing.
-STUFFING_WORDS = (
-    "machine learning",
-    "data science",
-    "artificial intelligence",
-    "python",
-    "java",
-    "c++",
-    "javascript",
-    "react",
-    "node",
-    "project management",
-    "leadership",
-    "team",
-    "analytics",
-    "aws",
-    "cloud",
-    "database",
-    "sql",
-    "communication",
-    "problem solving",
-    "algorithm",
-)
-
 
 def channels(color: Column | str) -> tuple[Column, Column, Column]:
     color = F.col(color) if isinstance(color, str) else color
@@ -170,13 +146,15 @@ def top_words(spans: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def keyword_hits(chunks: DataFrame, keywords: Sequence[str] = STUFFING_WORDS, more_than: int = 3) -> DataFrame:
+def keyword_hits(chunks: DataFrame, keywords: Sequence[str], more_than: int = 3) -> DataFrame:
     """Keywords found as substrings of each document's hidden text, and the stuffing flag.
 
     Found chunk by chunk; the first characters of the next chunks are appended so that a keyword across a border counts.
     """
-    reach = max(len(k) for k in keywords)
     hidden = chunks.filter(F.col("side") == "hidden")
+    if not keywords:
+        return hidden.select("doc_id").distinct().withColumns({"hits": F.array().cast("array<string>"), "stuffing": F.lit(False)})
+    reach = max(len(k) for k in keywords)
     head = F.substring(F.concat(F.lit(" "), "text"), 1, reach)
     spread = with_following(hidden, head, reach, lambda h: F.substring(F.array_join(h, ""), 1, reach), "_next")
     searched = F.lower(F.concat("text", F.coalesce("_next", F.lit(""))))

@@ -15,7 +15,6 @@ from docsieve.operators.classify import adjust_confidence, influential_terms, pr
 from docsieve.operators.employment import extract_employment, turnover_features
 from docsieve.operators.spans import (
     SPAN_ORDER,
-    STUFFING_WORDS,
     is_hidden,
     keyword_hits,
     side_content,
@@ -90,12 +89,12 @@ def hidden_section(
     spans: DataFrame,
     order: Sequence[str] = SPAN_ORDER,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
-    keywords: Sequence[str] = STUFFING_WORDS,
+    keywords: Sequence[str] = (),
     **inputs,
 ) -> DataFrame:
     """One row per document with spans: statistics, stuffing flag and verdict."""
     stats = span_statistics(spans)
-    hits = keyword_hits(text_chunks(spans.filter(is_hidden()), order), keywords)
+    hits = keyword_hits(text_chunks(spans.filter(is_hidden()), order), keywords)  # no words, no stuffing
     found, sides = verdicts(spans, order=order, keep=keep, **inputs)
     found = keep(found)
     combined = M.combine_verdicts(found, sides=sides)
@@ -150,7 +149,8 @@ def analyze(
 ) -> DataFrame:
     """One row per document; each stage adds its columns and can be switched off.
 
-    A document without spans has no hidden text, one without employment records the score of an empty history.
+    A document without spans has no hidden text, one without employment records the score of an empty history. Spans of
+    other documents are left out first; ``keep`` stores what is left, which the tests read several times.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
@@ -159,7 +159,10 @@ def analyze(
     if "features" in stages:
         result = result.join(document_features(documents, skills), "doc_id", "left")
     if "hidden" in stages and spans is not None:
-        section = hidden_section(spans, keep=keep, **hidden_inputs)
+        ids = documents.select("doc_id")
+        if hidden_inputs.get("entities") is not None:
+            hidden_inputs["entities"] = hidden_inputs["entities"].join(ids, "doc_id", "left_semi")
+        section = hidden_section(keep(spans.join(ids, "doc_id", "left_semi")), keep=keep, **hidden_inputs)
         result = result.join(section, "doc_id", "left").fillna(
             {"total_spans": 0, "hidden_count": 0, "hidden_percentage": 0.0, "has_hidden": False, "stuffing": False,
              "flagged": False, "flag_confidence": 0.0, "summary": M.NEUTRAL}

@@ -13,6 +13,7 @@ from docsieve.plans.registry import employment as EQ
 from docsieve.plans.registry import hidden as HQ
 from docsieve.plans.registry import texts as TQ
 from docsieve.plans.registry.hidden import ORDER, STUFFING
+from docsieve.session import cut_lineage
 
 
 def documents(spark, d):
@@ -35,6 +36,7 @@ def analysed(spark, d, stages=A.STAGES):
         phrase_lexicon=X.product_lexicon(spark),
         entities=X.entities(spark, d),
         stop_words=X.STOP_WORDS,
+        keep=cut_lineage,
     )
 
 

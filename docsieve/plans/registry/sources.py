@@ -42,12 +42,21 @@ _PATH = r"""SELECT page_id AS doc_id, CASE WHEN page_id % 9 <> 5 THEN concat(reg
 
 
 def a2_document_metadata(spark, d):
-    found = S.document_metadata(_paths(spark, d))
-    return found.select("doc_id", "path", "file_type", F.col("page_count").cast("bigint").alias("page_count"), "title", "author")
+    """Every second file names its title, author and date itself."""
+    own = F.col("doc_id") % 2 == 0
+    paths = _paths(spark, d).withColumns({
+        "title": F.when(own, F.concat(F.lit("Title "), F.col("doc_id"))), "author": F.when(own, "somebody"),
+        "creation_date": F.when(own, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))),
+    })
+    found = S.document_metadata(paths)
+    created = F.date_format("creation_date", "yyyy-MM-dd").alias("creation_date")
+    return found.select("doc_id", "path", "file_type", F.col("page_count").cast("bigint").alias("page_count"), "title", "author", created)
 
 
 A2 = f"""SELECT doc_id, path, kind AS file_type, CASE kind WHEN 'txt' THEN 1::BIGINT WHEN 'pdf' THEN 3 END AS page_count,
-    list_last(string_split(path, '/')) AS title, '' AS author FROM (SELECT *, lower(list_last(string_split(path, '.'))) AS kind FROM ({_PATH}))"""
+    CASE WHEN doc_id % 2 = 0 THEN concat('Title ', doc_id) ELSE list_last(string_split(path, '/')) END AS title,
+    CASE WHEN doc_id % 2 = 0 THEN 'somebody' ELSE '' END AS author,
+    CASE WHEN doc_id % 2 = 0 THEN strftime(DATE '2020-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') END AS creation_date FROM (SELECT *, lower(list_last(string_split(path, '.'))) AS kind FROM ({_PATH}))"""
 
 
 def a3_with_errors(spark, d):

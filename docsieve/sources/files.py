@@ -24,19 +24,29 @@ def read_documents(spark: SparkSession, path: str, types: Sequence[str] | str |
 
 
 def document_metadata(documents: DataFrame) -> DataFrame:
-    """``path, file_type, page_count, title, author``: a text file is one page, a .docx has no page count."""
+    """``path, file_type, page_count, title, author, creation_date``: a text file is one page, a .docx has no page count.
+
+    What the input knows (``title, author, creation_date``, as the reader of a PDF finds them) stays; otherwise the title is
+    the file's name, the author empty and the date NULL.
+    """
     kind = F.regexp_replace(extension("path"), r"^\.", "")
     pages = F.when(kind == "txt", F.lit(1))
     if "page_count" in documents.columns:
         pages = F.coalesce(pages, F.when(kind == "pdf", F.col("page_count")))
-    others = [c for c in documents.columns if c not in ("path", "page_count")]
+    others = [c for c in documents.columns if c not in ("path", "page_count", "title", "author", "creation_date")]
+
+    def known(column: str, otherwise: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(column), F.lit("")), otherwise) if column in documents.columns else otherwise
+
+    created = F.col("creation_date") if "creation_date" in documents.columns else F.lit(None)
     return documents.select(
         *others,
         "path",
         kind.alias("file_type"),
         pages.alias("page_count"),
-        F.element_at(F.split("path", "/"), -1).alias("title"),
-        F.lit("").alias("author"),
+        known("title", F.element_at(F.split("path", "/"), -1)).alias("title"),
+        known("author", F.lit("")).alias("author"),
+        created.cast("timestamp").alias("creation_date"),
     )
 
 
