@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Odd multipliers: of a byte's place, of a word's place in a run, and of the second run hash.
 BYTE_R, RUN_R, RUN_R2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bytes of text that are handled at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -18,9 +18,9 @@ from docsieve.llm.common import table, text_key, text_of
 U64 = grams.U64
 NO_ID = -(1 << 63)
 #: Rows of the sketch; cells of a row at most (two bits while counting, one when merged); cells of a block.
-DEPTH, MOST_CELLS, BLOCK_BITS = 2, 29, 20
+DEPTH, MOST_CELLS, BLOCK_BITS = 2, 28, 20
 #: Windows that a task handles at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _CELL_OF = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 
 
@@ -120,7 +120,7 @@ def _merged(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def window_sketch(texts: DataFrame, k: int, bits: int) -> np.ndarray:
+def window_sketch(texts: DataFrame, k: int, bits: int) -> list[np.ndarray]:
     """The merged sketch: for every cell of every row, one bit that tells whether it counts two or more.
 
     Tasks count their own windows, equal cells of all tasks meet and are added, and the result, DEPTH * 2 ** bits bits
@@ -128,14 +128,14 @@ def window_sketch(texts: DataFrame, k: int, bits: int) -> np.ndarray:
     """
     partial = texts.select("text").mapInArrow(_partial_sketches(k, bits), "row int, block int, one binary, two binary")
     merged = partial.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(bits), "row int, block int, bits binary")
-    sketch = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
+    sketch = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
     size = (1 << min(bits, BLOCK_BITS)) // 8
     for row in merged.toLocalIterator():
-        sketch[row["row"], row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["bits"])), np.uint8)
+        sketch[row["row"]][row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["bits"])), np.uint8)
     return sketch
 
 
-def _repeated(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def _repeated(sketch: list[np.ndarray], hashes: np.ndarray, bits: int) -> np.ndarray:
     """False only for windows that one document alone holds."""
     found = np.ones(len(hashes), bool)
     for row in range(DEPTH):
@@ -300,7 +300,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id. A first pass
     adds the windows of all documents up in a count-min sketch; a cell counts a document once and never too low, so a
     window whose smallest cell is below two is in no other document. A second pass groups the others by 96 bits of hash.
-    The sketch has a cell for two bytes of text, 2 ** 29 at most (64 MB a row, broadcast): beyond, more windows go
+    The sketch has a cell for two bytes of text, 2 ** 28 at most (32 MB a row, broadcast): beyond, more windows go
     through the exact groups, none are lost.
 
     Null, empty and short texts lose nothing; kept words are joined by one space. A null id counts as the smallest. Rows
