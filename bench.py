@@ -20,6 +20,7 @@ HEADLINES = (
     "b13_ngrams",
     "c4_span_statistics",
     "c7_top_words",
+    "d1_side_tfidf",
     "d2_significant_terms",
     "d4_match_phrases",
     "d15_entity_mismatches",
@@ -27,9 +28,11 @@ HEADLINES = (
     "f1_extract_employment",
     "f5_employment_gaps",
     "g5_turnover_score",
+    "h3_fit_text_classifier",
     "h8_binary_report",
     "i1_analyze",
     "j5_run_status",
+    "j9_stream_runs",
 )
 
 
