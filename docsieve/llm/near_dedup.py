@@ -158,7 +158,7 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def _links_across(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one block against another (or itself): the links between members of different components. Wide signatures sift, full
+    """Of one block against another (or itself): which components are linked, by their labels. Wide signatures sift, full
     sets decide, and what has been joined isn't compared again, so few links stand for many."""
 
     def run(part: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def _links_across(percent: int) -> Callable[[pa.Table], pa.Table]:
                 label = joined[label]
             return label
 
-        labels = part.column("label").to_numpy().copy()
+        given = labels = part.column("label").to_numpy()
         block, one, other = (part.column(c).to_numpy() for c in ("block", "one", "other"))
         wide = _wide(part.column("wide"))
         sets = [np.frombuffer(x, U64) for x in part.column("shingles").to_pylist()]
@@ -191,8 +191,8 @@ def _links_across(percent: int) -> Callable[[pa.Table], pa.Table]:
                 x, y = root(labels[i]), root(labels[j])
                 if x != y:
                     joined[max(x, y)] = min(x, y)
-                    lows.append(min(ids[i], ids[j]))
-                    highs.append(max(ids[i], ids[j]))
+                    lows.append(min(given[i], given[j]))
+                    highs.append(max(given[i], given[j]))
             if len(lows) and len(lows) % 64 == 0:
                 labels = np.array([root(x) for x in labels.tolist()])
         return pa.table({"a": np.array(lows, np.int64), "b": np.array(highs, np.int64)})
@@ -239,12 +239,15 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     crowd = crowd.select("hub", "id", "label", "block", F.least("block", "_with").alias("one"), F.greatest("block", "_with").alias("other"))
     crowd = crowd.join(wides, "id").join(texts.mapInArrow(_sets(words), "id long, shingles binary"), "id")
     across = crowd.groupBy("hub", "one", "other").applyInArrow(_links_across(percent), "a long, b long")
-    links = links.union(cut_lineage(across))
 
     of_class = some.join(classes.select("c", F.col("id").alias("class_id")), "c")  # sets are told apart by 128 bits
-    twice = of_class.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a < b")
-    twice = of_class.join(twice.select("id", "a"), "id").filter("a < class_id").select("a", F.col("class_id").alias("b"))
-    labels = components(links.union(twice)).withColumnRenamed("id", "class_id")
+    named = of_class.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", F.coalesce("label", "class_id").alias("label"))
+    twice = named.groupBy("id").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+    twice = named.join(twice.select("id", "a"), "id").filter("a < label").select("a", F.col("label").alias("b"))
+    joined = components(across.union(twice)).toDF("label", "_joined")  # components of components
+    first = labels.join(joined, "label", "left").select(F.col("id").alias("class_id"), F.coalesce("_joined", "label").alias("label"))
+    alone = joined.select(F.col("label").alias("class_id"), F.col("_joined").alias("label"))  # had no link before
+    labels = first.union(alone.join(labels.select(F.col("id").alias("class_id")), "class_id", "left_anti"))
 
     found = members.join(classes.select("c", F.col("id").alias("class_id")), "c", "left").join(labels, "class_id", "left")
     return found.select("id", "text_key", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "class_id", "id")).alias("component"))
