@@ -28,7 +28,6 @@ HEADLINES = (
     "f1_extract_employment",
     "f5_employment_gaps",
     "g5_turnover_score",
-    "h3_fit_text_classifier",
     "h8_binary_report",
     "i1_analyze",
     "j5_run_status",
