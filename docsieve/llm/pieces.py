@@ -29,9 +29,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 #: Score of a byte that no piece covers, below any way by pieces.
 BYTE_SCORE = -1e10
-#: Distinct words that a task remembers at most before it starts anew, and bytes of words that are read side by side.
+#: Distinct words that a task remembers at most before it starts anew, and cells (longest word x words) of words that are
+#: read side by side.
 REMEMBERED, TOGETHER = 600_000, 1 << 19
-#: Pairs of pieces that a task remembers, and bytes above which a word is cut further.
+#: Pairs of pieces that a task remembers, and bytes above which a word is cut further and forgotten after its batch.
 SLOTS, LONG = 1 << 20, 64
 
 
@@ -344,9 +345,8 @@ class Encoder:
         words.sort(key=len)
         at = 0
         while at < len(words):
-            to, size = at, 0
-            while to < len(words) and (to == at or size + len(words[to]) <= TOGETHER):
-                size += len(words[to])
+            to = at + 1  # the longest word, which comes last, makes every word's column as long; alone it may be of any length
+            while to < len(words) and (len(words[to]) + 1) * (to + 1 - at) <= TOGETHER:
                 to += 1
             out.update(zip(words[at:to], self.automaton.segment(words[at:to])))
             at = to
@@ -390,6 +390,9 @@ class Encoder:
             for w in words:
                 ids += sign if w is None else known[w]
             out.append(ids)
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
         return out
 
     @staticmethod

@@ -29,3 +29,21 @@ def test_pieces_are_those_of_sentencepiece(spark, sf_dir, vocabulary):
     texts += ["".join(draw.choice("aabeinrst  \né日🙂0") for _ in range(draw.randint(1, 200))) for _ in range(2000)]
     found = pieces.Encoder(vocabulary, vocabulary.splits is not None).encode([t.encode() for t in texts])
     assert found == [model.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("merges", [False, True])
+def test_long_words_stand_alone(vocabulary, merges, monkeypatch):
+    encoder, cells = pieces.Encoder(vocabulary, merges), []
+    segment = encoder.automaton.segment
+
+    def watched(words):
+        cells.append((max(map(len, words)) + 1) * len(words) if len(words) > 1 else 0)
+        assert cells[-1] <= pieces.TOGETHER
+        return segment(words)
+
+    monkeypatch.setattr(encoder.automaton, "segment", watched)
+    draw = random.Random(7)
+    texts = ["x" * 60_000, " ".join(f"{k:09d}" for k in range(20_000)), "\t".join(draw.choice("abc") * 9 for _ in range(3000))]
+    found = encoder.encode([t.encode() for t in texts])
+    assert [pieces.decode(vocabulary, ids) for ids in found] == [t.encode() for t in texts]
+    assert max(cells) > 0 and max(map(len, encoder.known)) <= pieces.LONG
