@@ -203,4 +203,4 @@ def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = BACKOFF) ->
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "log_score", "per_word")
+    return backoff_scores(table(spark, sf_dir, "documents"), order=3).select("doc_id", "n_words", "log_score", "per_word")

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from test_operators import scores_by_hand
 
-from docsieve.llm import pieces
+from docsieve.llm import lm_score, pieces
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,13 @@ def test_long_words_stand_alone(vocabulary, merges, monkeypatch):
     found = encoder.encode([t.encode() for t in texts])
     assert [pieces.decode(vocabulary, ids) for ids in found] == [t.encode() for t in texts]
     assert max(cells) > 0 and max(map(len, encoder.known)) <= pieces.LONG
+
+
+# -- scores
+
+
+def test_registered_scores_look_at_two_words_of_context(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r.n_words, round(r.log_score, 4)) for r in lm_score.op6(spark, sf_dir).collect())
+    want = scores_by_hand(rows, 3)
+    assert [n for n, _ in got] == [n for n, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-4)
