@@ -124,9 +124,10 @@ def training_order(plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` in training order, each as often as the mix takes it (whole), in the struct ``doc``."""
+    """The rows of ``docs`` in training order, each as often as the mix takes it (whole), in the struct ``doc``. Documents
+    without words cost a source nothing and come once, at their planned position."""
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), text_key(text_of(F.col("text"))).alias("_key"), F.col("source").alias("_source"))
-    plan = plan_mix(docs, schedules, share, most, whole=True).filter("taken > 0").select("doc_id", "text_key", "source", "times")
+    plan = plan_mix(docs, schedules, share, most, whole=True).filter("taken > 0 OR size = 0").select("doc_id", "text_key", "source", "times")
     plan = plan.groupBy("doc_id", "text_key", "source").agg(F.first("times").alias("times"))  # repeated rows have places of their own, but equal shares
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")) & F.col("_source").eqNullSafe(F.col("source"))
     copies = rows.join(plan, same).select("doc", F.explode("times").alias("position"))

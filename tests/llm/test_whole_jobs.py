@@ -1,11 +1,12 @@
 """Whole jobs: results against the tools and definitions that they stand for."""
 
+import collections
 import random
 
 import pytest
 from test_operators import scores_by_hand
 
-from docsieve.llm import lm_score, pieces
+from docsieve.llm import lm_score, mixing, pieces
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,13 @@ def test_registered_scores_look_at_two_words_of_context(spark, sf_dir):
     got = sorted((r.n_words, round(r.log_score, 4)) for r in lm_score.op6(spark, sf_dir).collect())
     want = scores_by_hand(rows, 3)
     assert [n for n, _ in got] == [n for n, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-4)
+
+
+# -- mixing
+
+
+def test_documents_without_words_stay_in_the_mix(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (2, "", "a"), (3, " \t\n", "b"), (4, "x y z", "b"), (5, None, "empty"), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter(tuple(r) for r in mixing.mix(docs).select("doc.*").collect())
+    assert {r: n for r, n in got.items() if not (r[1] or "").split()} == {r: n for r, n in collections.Counter(rows).items() if not (r[1] or "").split()}
