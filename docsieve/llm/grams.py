@@ -1,12 +1,14 @@
 """Words of a batch of texts and hashes of runs of words, as arrays.
 
-The texts' bytes stay one array. A word's hash is a polynomial over its bytes, taken from running sums, so all words are
-hashed at once; a run's hash is a polynomial over its words' hashes in the same way.
+The texts' bytes stay one array. A word's hash is the sum of a mixed value of each (byte, place in the word), taken from
+running sums, so all words are hashed at once; unlike a polynomial modulo 2 ** 64 it has no structure that long words of
+two letters could meet. A run's hash is a polynomial over its words' hashes; runs are short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +48,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Mixed values of the first places of a word; later places are mixed when they come.
+PLACES = 64
+_MIXED = mix64(np.arange(1, 256 * PLACES + 1, dtype=U64) * U64(BYTE_R))
+
+
+def word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand one after another in ``letters``."""
+    ends = np.cumsum(sizes)
+    places = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
+    code = places * 256 + letters
+    late = code >= len(_MIXED)
+    value = _MIXED[np.where(late, 0, code)]
+    if late.any():
+        value[late] = mix64((code[late].astype(U64) + U64(1)) * U64(BYTE_R))
+    sums = np.zeros(len(letters) + 1, U64)
+    np.cumsum(value, out=sums[1:])
+    return mix64(sums[ends] - sums[ends - sizes] + sizes.astype(U64) * U64(RUN_R2))
+
+
 class Words(NamedTuple):
     """``starts`` and ``ends`` in the bytes, ``ids`` the hashes; text i has the words bounds[i] ... bounds[i + 1] - 1."""
 
@@ -60,15 +81,20 @@ class Words(NamedTuple):
 
 
 class Bytes:
-    """Running sums over the bytes; hashes any slices of them."""
+    """Hashes any slices of the bytes by running sums, for features that may collide: a polynomial."""
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * powers(BYTE_R, len(data)), out=self.sums[1:])
-        self.back = powers(pow(BYTE_R, -1, 1 << 64), len(data) + 1)
+        self.data = data
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        sums = np.zeros(len(self.data) + 1, U64)
+        np.cumsum((self.data.astype(U64) + U64(1)) * powers(BYTE_R, len(self.data)), out=sums[1:])
+        return sums
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        back = powers(pow(BYTE_R, -1, 1 << 64), len(self.data) + 1)
+        raw = (self.sums[ends] - self.sums[starts]) * back[starts]
         return mix64(raw + (ends - starts).astype(U64) * U64(RUN_R2))
 
 
@@ -85,8 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.
     after = np.zeros(len(data), bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    sums = Bytes(data)
-    return Words(starts, ends, sums.hash(starts, ends), np.searchsorted(starts, offsets)), sums
+    return Words(starts, ends, word_hashes(data[inside], ends - starts), np.searchsorted(starts, offsets)), Bytes(data)
 
 
 def runs(w: Words, k: int, base: int = RUN_R) -> tuple[np.ndarray, np.ndarray]:
