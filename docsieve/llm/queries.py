@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsieve.llm import ann, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity
+from docsieve.llm import ann, exact_dedup, hard_negatives, jaccard, line_dedup, lm_score, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_byte_shards": sharding.op10,
+    "op11_jaccard_join": jaccard.op11,
+    "op12_whiten": whitening.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 ORACLE = {
