@@ -104,3 +104,52 @@ def position(
 ) -> DataFrame:
     """1-based position of each row within its key."""
     return running(df, keys, order, bucket, {name: F.lit(1).cast("bigint")})
+
+
+def around(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
+    highest: dict[str, Column] | None = None,
+) -> DataFrame:
+    """The latest non-null value strictly before each row, the first one strictly after it, the greatest one before it.
+
+    ``order`` names columns that tell the rows of a key apart. Only buckets that get something from others have a summary
+    joined, so keys that lie in one bucket cost no more than their place.
+    """
+    before, after, highest = before or {}, after or {}, highest or {}
+    values = {**before, **after, **highest}
+    placed = _place(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, bucket)
+    rank = F.struct(*order)
+    held = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), rank)
+    parts = [F.max_by(f"_v_{n}", held(n)).alias(n) for n in before]
+    parts += [F.min_by(f"_v_{n}", held(n)).alias(n) for n in after]
+    parts += [F.max(f"_v_{n}").alias(n) for n in highest]
+    up = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.desc(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.last(n, ignorenulls=True).over(up).alias(n) for n in before]
+    carry += [F.last(n, ignorenulls=True).over(down).alias(n) for n in after]
+    carry += [F.max(n).over(up).alias(n) for n in highest]
+    summary = placed.groupBy(*keys, _BUCKET).agg(*parts).select(*keys, _BUCKET, F.struct(*carry).alias("_carry"))
+    summary = summary.filter(_any([F.col("_carry")[n].isNotNull() for n in values]))
+    here_up = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here_down = Window.partitionBy(*keys, _BUCKET).orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+    here = placed.withColumns({
+        **{n: F.last(f"_v_{n}", ignorenulls=True).over(here_up) for n in before},
+        **{n: F.last(f"_v_{n}", ignorenulls=True).over(here_down) for n in after},
+        **{n: F.max(f"_v_{n}").over(here_up) for n in highest},
+    }).drop(*[f"_v_{n}" for n in values])
+    joined = _attach(here, summary, keys)
+    found = {n: F.coalesce(n, F.col("_carry")[n]) for n in [*before, *after]}
+    found |= {n: F.greatest(n, F.col("_carry")[n]) for n in highest}
+    return joined.withColumns(found).drop("_carry", _BUCKET)
+
+
+def _any(flags: Sequence[Column]) -> Column:
+    found = F.lit(False)
+    for flag in flags:
+        found = found | flag
+    return found

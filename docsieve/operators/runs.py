@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import strip
-from docsieve.operators.ordered import last_seen, running
+from docsieve.operators.ordered import around, last_seen
+from docsieve.session import cut_lineage
 
 # The log's markers and their time format.
 BEGIN, END = "<BEGIN ANALYSIS", "<END ANALYSIS"
 TIME_FORMAT = "yyyyMMdd_HHmmss"
 MARKER_KEYS = ("id", "mode", "file", "pattern", "timestamp")
 LINES_PER_BUCKET = 4096
+#: Buckets that a lookup by id takes together: few lines have one id.
+LINES_PER_KEY = 256
+#: Markers of a log that is folded in one row.
+SHORT_LOG = 512
+#: After every line.
+LAST_LINE = (1 << 63) - 1
 
 # Which key names the kind of a result line, tested in this order.
 RESULT_KINDS = (
@@ -105,71 +109,159 @@ def advance(state: tuple, kind: str, run_id: str | None, mode: str | None, line_
     return state, (None, None, None)
 
 
-CLOSED = ((None, None), (None, None))
-_ASSIGNED = (
-    "log_id bigint, line_no bigint, kind string, id string, mode string, file string, pattern string, "
-    "timestamp string, parent_line bigint, closes_line bigint, closes_status string, "
-    "top_line bigint, open_line bigint"
-)
+def _bucket(lines: int = LINES_PER_BUCKET) -> Column:
+    return F.floor(F.col("line_no") / lines)
 
 
-def _assign(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """Streams over sorted markers; all it keeps is the state of the current segment."""
-    segment, state = None, CLOSED
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if (row.log_id, row.segment) != segment:
-                segment, state = (row.log_id, row.segment), CLOSED
-            state, (parent, closes, status) = advance(state, row.kind, row.id, row.mode, row.line_no)
-            top, child = state[0][0], state[1][0]
-            out.append((parent, closes, status, top, child if child is not None else top))
-        added = pd.DataFrame(out, columns=["parent_line", "closes_line", "closes_status", "top_line", "open_line"], dtype=object)
-        numbers = ["parent_line", "closes_line", "top_line", "open_line"]
-        added[numbers] = added[numbers].astype("Int64")
-        yield pd.concat([pdf.drop(columns="segment").reset_index(drop=True), added], axis=1)
+def _closings(markers: DataFrame) -> DataFrame:
+    """What each marker can tell without knowing which runs are open.
+
+    Between a begin and the next one its run is the open file, if it isn't the open run itself. The first end there that
+    names it or can't be read concerns it (``is_own``); every other end is free. So a begin, taken as the open run, closes
+    at its own end, or at the first free end after it that names it or can't be read (``close``: the line, and the first
+    begin after that), unless a batch begins before (``gives_way``). ``next_top``: the begin that is the open run after it.
+    """
+    line, order = F.col("line_no"), ["line_no"]
+    begin, end = F.col("kind") == "begin", F.col("kind") == "end"
+    unread = end & F.col("id").isNull()
+    batch = begin & ~F.col("mode").eqNullSafe("analyze")
+    far = _bucket(LINES_PER_BUCKET * LINES_PER_KEY)
+    named = F.col("id").isNotNull()
+
+    m = around(markers, ["log_id", "id"], order, far, {"_end_before": F.when(end, line)}, {"_own_end": F.when(end, line)})
+    m = m.withColumn("_own_end", F.when(named, F.col("_own_end")))
+    m = around(
+        m, ["log_id"], order, _bucket(),
+        {"last_begin": F.when(begin, F.struct("line_no", "id", "_own_end")), "_unread_before": F.when(unread, line)},
+        {"_next_begin": F.when(begin, line), "_next_batch": F.when(batch, line), "_next_unread": F.when(unread, line)},
+    )
+    since = F.col("last_begin.line_no")
+    none_unread = F.coalesce(F.col("_unread_before") < since, F.lit(True))
+    names = F.coalesce(F.col("id") == F.col("last_begin.id"), F.lit(False))
+    first_named = names & F.coalesce(F.col("_end_before") < since, F.lit(True))
+    not_ended = F.coalesce(F.col("last_begin._own_end") > line, F.lit(True))
+    own = end & since.isNotNull() & none_unread & F.when(unread, not_ended).otherwise(first_named)
+    over = ~none_unread | unread | F.coalesce(F.col("last_begin._own_end") <= line, F.lit(False))
+    m = m.withColumns({"is_own": own, "own_over": over})
+    free = end & ~F.col("is_own")
+    reached = F.struct("line_no", "_next_begin")
+    m = around(m, ["log_id"], order, _bucket(), after={"_free_unread": F.when(free & unread, reached)})
+    m = around(m, ["log_id", "id"], order, far, after={"_free_named": F.when(free & named, reached)})
+    first = F.least("_own_end", "_next_unread")
+    mine = F.when(F.coalesce(first < F.col("_next_begin"), first.isNotNull()), F.struct(first.alias("line_no"), "_next_begin"))
+    close = F.when(begin, F.least(mine, F.col("_free_unread"), F.when(named, F.col("_free_named"))))
+    m = m.withColumn("close", close)
+    closed = F.coalesce(F.col("close.line_no") < F.col("_next_batch"), F.col("close").isNotNull())
+    return m.withColumns({
+        "batch": batch,
+        "gives_way": F.when(begin, F.least("close.line_no", "_next_batch")),
+        "next_top": F.when(begin, F.when(closed, F.col("close._next_begin")).otherwise(F.col("_next_batch"))),
+    }).select(*markers.columns, "last_begin.line_no", "is_own", "own_over", "batch", "close.line_no", "gives_way", "next_top").toDF(
+        *markers.columns, "begin_line", "is_own", "own_over", "batch", "close_line", "gives_way", "next_top"
+    )
 
 
-def _bucket(lines: int = LINES_PER_BUCKET) -> Column:
-    return F.floor(F.col("line_no") / lines)
+def _open_runs(begins: DataFrame, heads: DataFrame) -> DataFrame:
+    """The begins (log_id, line_no) that are the open run: ``heads`` and what follows them by ``next_top``.
 
+    What lies between heads is found by pointer jumping: each round doubles the distance that pointers span, so a chain of
+    n runs takes log n rounds, and no task follows a chain.
+    """
+    known = heads.select("log_id", "line_no")
+    to = lambda df: df.select("log_id", F.col("next_top").alias("line_no")).filter("line_no is not null").distinct()
+    fresh = cut_lineage(to(begins.join(known, ["log_id", "line_no"], "left_semi")).join(known, ["log_id", "line_no"], "left_anti"))
+    if fresh.isEmpty():
+        return known
+    other = begins.select("log_id", "line_no", "next_top").join(known, ["log_id", "line_no"], "left_anti")
+    inner = known.select("log_id", F.col("line_no").alias("next_top"))
+    jumps = cut_lineage(other.filter("next_top is not null").join(inner, ["log_id", "next_top"], "left_anti").select("log_id", "line_no", "next_top"))
+    while True:
+        reached = fresh.join(jumps, ["log_id", "line_no"]).select("log_id", F.col("next_top").alias("line_no"))
+        wider = cut_lineage(fresh.union(reached).distinct())
+        if wider.count() == fresh.count():
+            return known.union(fresh)
+        fresh = wider
+        on = jumps.select("log_id", F.col("line_no").alias("next_top"), F.col("next_top").alias("_far"))
+        jumps = cut_lineage(jumps.join(on, ["log_id", "next_top"]).select("log_id", "line_no", F.col("_far").alias("next_top")))
+
+
+def _looked_up(markers: DataFrame, settled: bool = True) -> DataFrame:
+    """For logs of any length: ends are matched by ordered lookups over ranges of lines. A begin is known to be the open run
+    where a batch begins, and where every earlier run of the log has closed (``settled``; without it only the first begin
+    of a log is); the few others are found by pointer jumping. No task follows a log."""
+    m = _closings(markers)
+    begin, line = F.col("kind") == "begin", F.col("line_no")
+    m = cut_lineage(around(m, ["log_id"], ["line_no"], _bucket(), highest={"_latest": F.when(begin, F.coalesce("gives_way", F.lit(LAST_LINE)))}))
+    begins = m.filter(begin)
+    early = F.col("_latest").isNull()
+    heads = begins.filter(F.col("batch") | early | (F.col("_latest") < line if settled else F.lit(False)))
+    tops = _open_runs(begins, heads).withColumn("is_top", F.lit(True))
+    m = m.join(tops, ["log_id", "line_no"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
+    m = around(m, ["log_id"], ["line_no"], _bucket(), {"top": F.when(F.col("is_top"), F.struct("line_no", "close_line"))})
+
+    end, unread = F.col("kind") == "end", F.col("id").isNull()
+    top, begun = F.col("top.line_no"), F.col("begin_line")
+    was_open = F.coalesce(F.col("top.close_line") >= line, top.isNotNull())
+    stays_open = F.coalesce(F.col("top.close_line") > line, top.isNotNull())
+    closes_file = end & was_open & (begun != top) & F.col("is_own")
+    closes = F.when(closes_file, begun).when(end & (F.col("top.close_line") == line), top)
+    top_after = F.when(F.col("is_top"), line).when(stays_open, top)
+    file_after = F.when(F.col("is_top"), line).when(begin, line).when(stays_open, F.when((begun != top) & ~F.col("own_over"), begun).otherwise(top))
+    return m.select(
+        "log_id", "line_no", "kind", *MARKER_KEYS,
+        F.when(begin & ~F.col("is_top"), top).alias("parent_line"),
+        closes.alias("closes_line"),
+        F.when(closes.isNotNull(), F.when(unread, "error").otherwise("completed")).alias("closes_status"),
+        top_after.alias("top_line"),
+        file_after.alias("open_line"),
+    )
 
-def independent_segments(markers: DataFrame, within_batches: bool = True) -> DataFrame:
-    """``segment``: pieces of a log that do not depend on each other, so that one long log is worked on by many tasks.
 
-    A batch marker replaces whatever was open, so every batch starts a segment. With ``within_batches`` a run that
-    begins when every earlier one has ended starts one too, so a log of single analyses is not one piece. Only a log
-    known to consist of batches may do without those passes.
+def _folded(markers: DataFrame) -> DataFrame:
+    """For short logs: each log's markers in order, folded into what ``advance`` says of them, in the row expression."""
+    x_type = "struct<line_no:bigint,kind:string,id:string,mode:string,file:string,pattern:string,timestamp:string>"
+    run, said = "struct<line_no:bigint,id:string>", "struct<parent_line:bigint,closes_line:bigint,closes_status:string,top_line:bigint,open_line:bigint>"
+    nobody = F.lit(None).cast(run)
+
+    def step(state: Column, x: Column) -> Column:
+        top, child = state["top"], state["child"]
+        begin, unread = x["kind"] == "begin", x["id"].isNull()
+        inside = begin & x["mode"].eqNullSafe("analyze") & top.isNotNull()
+        ends_child = ~begin & child.isNotNull() & F.coalesce(unread | (x["id"] == child["id"]), F.lit(False))
+        ends_top = ~begin & ~ends_child & top.isNotNull() & F.coalesce(unread | (x["id"] == top["id"]), F.lit(False))
+        this = F.struct(x["line_no"].alias("line_no"), x["id"].alias("id")).cast(run)
+        new_top = F.when(begin & ~inside, this).when(ends_top, nobody).otherwise(top)
+        new_child = F.when(inside, this).when(begin | ends_child | ends_top, nobody).otherwise(child)
+        closes = F.when(ends_child, child["line_no"]).when(ends_top, top["line_no"])
+        told = F.struct(
+            F.when(inside, top["line_no"]).alias("parent_line"),
+            closes.alias("closes_line"),
+            F.when(closes.isNotNull(), F.when(unread, "error").otherwise("completed")).alias("closes_status"),
+            new_top["line_no"].alias("top_line"),
+            F.coalesce(new_child["line_no"], new_top["line_no"]).alias("open_line"),
+        ).cast(said)
+        return F.struct(new_top.alias("top"), new_child.alias("child"), F.array_append(state["told"], told).alias("told"))
+
+    start = F.struct(nobody.alias("top"), nobody.alias("child"), F.array().cast(f"array<{said}>").alias("told"))
+    in_order = F.sort_array(F.collect_list(F.struct("line_no", "kind", *MARKER_KEYS).cast(x_type)))
+    logs = markers.groupBy("log_id").agg(in_order.alias("m"))
+    both = logs.select("log_id", F.explode(F.arrays_zip("m", F.aggregate("m", start, step, lambda state: state["told"]).alias("told"))).alias("r"))
+    return both.select("log_id", "r.m.*", "r.told.*")
+
+
+def assign_markers(lines: DataFrame, settled: bool = True) -> DataFrame:
+    """Every marker with the run it begins or ends, and the run open after it, as ``advance`` would say line by line.
+
+    Logs of up to ``SHORT_LOG`` markers are folded each in its row; longer ones are cut into ranges of lines that work on
+    their own. Both give the same.
     """
-    order, bucket = [F.col("line_no")], _bucket()
-    batch = (F.col("kind") == "begin") & ~F.col("mode").eqNullSafe("analyze")
-    numbered = running(markers, ["log_id"], order, bucket, {"segment": batch.cast("bigint")})
-    if not within_batches:
-        return numbered
-    numbered = numbered.withColumnRenamed("segment", "batch_no")
-    spans = numbered.groupBy("log_id", "batch_no", "id").agg(
-        F.count_if(F.col("kind") == "begin").alias("begins"),
-        F.max(F.when(F.col("kind") == "begin", F.col("line_no"))).alias("begin_line"),
-        F.max(F.when(F.col("kind") == "end", F.col("line_no"))).alias("end_line"),
-    )
-    # An id that begins once and ends later is open in between; any other is taken as open to the end.
-    closing = spans.filter("begins = 1 and end_line > begin_line").select(
-        "log_id", F.col("end_line").alias("line_no"), F.lit(-1).cast("bigint").alias("delta")
-    )
-    marked = numbered.join(closing, ["log_id", "line_no"], "left")
-    step = F.coalesce("delta", F.lit(0)) + (F.col("kind") == "begin").cast("bigint")
-    depth = running(marked, ["log_id", "batch_no"], order, bucket, {"depth": step}).drop("delta")
-    fresh = (F.col("kind") == "begin") & (F.col("depth") == 1)
-    return running(depth, ["log_id"], order, bucket, {"segment": fresh.cast("bigint")}).drop("batch_no", "depth")
-
-
-def assign_markers(lines: DataFrame, within_batches: bool = True) -> DataFrame:
-    """Every marker with the run it begins or ends, and the run open after it."""
-    markers = parse_marker(lines).filter("kind is not null").select("log_id", "line_no", "kind", *MARKER_KEYS)
-    segmented = independent_segments(markers, within_batches)
-    columns = ["log_id", "line_no", "kind", *MARKER_KEYS, "segment"]
-    placed = segmented.select(*columns).repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
-    return placed.mapInPandas(_assign, _ASSIGNED)
+    markers = cut_lineage(parse_marker(lines).filter("kind is not null").select("log_id", "line_no", "kind", *MARKER_KEYS))
+    long = markers.groupBy("log_id").count().filter(F.col("count") > SHORT_LOG).select("log_id")
+    if long.isEmpty():
+        return _folded(markers)
+    long = cut_lineage(long)
+    rest = _folded(markers.join(long, "log_id", "left_anti"))
+    return rest.unionByName(_looked_up(markers.join(long, "log_id", "left_semi"), settled))
 
 
 def assign_to_run(lines: DataFrame, markers: DataFrame | None = None) -> DataFrame:
