@@ -52,6 +52,16 @@ def parse_marker(lines: DataFrame) -> DataFrame:
     return marked.withColumns({k: _value(F.col("_b"), k) for k in MARKER_KEYS}).drop("_l", "_b")
 
 
+def marker_struct(line: Column, place: Column) -> Column:
+    """What ``parse_marker`` says of one line of an array, with its place ``k`` from 1 and its ``time``."""
+    text = strip(line)
+    kind = F.when(text.startswith(BEGIN), "begin").when(text.startswith(END), "end")
+    skip = F.when(kind == "begin", len(BEGIN)).otherwise(len(END))
+    body = F.when(kind.isNotNull(), F.substring(text, skip + 1, F.length(text) - skip - 1))
+    values = {k: _value(body, k) for k in ("id", "mode", "timestamp")}
+    return F.struct((place + 1).alias("k"), kind.alias("kind"), *[v.alias(k) for k, v in values.items()], to_time(values["timestamp"]).alias("time"))
+
+
 # Fixed value: the quotes that become double quotes.
 LITERAL_QUOTE = r"(?<![a-zA-Z])'|'(?![a-zA-Z])"
 

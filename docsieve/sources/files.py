@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import strip
@@ -126,6 +126,48 @@ def stream_run_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return spark.readStream.schema(RUN_LINE_SCHEMA).format(fmt).load(path)
 
 
+#: ``<log>/<number>.<ending>``: a log is a folder, its files are segments numbered from 1.
+SEGMENT_FILE = r"([^/]+)/0*(\d+)\.[^/]*$"
+
+
+def _segments(files: DataFrame) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    return files.select(
+        F.xxhash64(F.regexp_replace(path, r"/[^/]*$", "")).alias("log_id"),
+        F.regexp_extract(path, SEGMENT_FILE, 1).alias("log"),
+        F.try_to_number(F.nullif(F.regexp_extract(path, SEGMENT_FILE, 2), F.lit("")), F.lit("9" * 18)).cast("bigint").alias("segment"),
+        F.col("_metadata.file_modification_time").alias("written"),
+        F.col("value").alias("text"),
+    ).filter("segment is not null")
+
+
+def read_log_segments(spark: SparkSession, path: str) -> DataFrame:
+    """``log_id, log, segment, written, text`` of the segment files under ``path``, one row a file."""
+    return _segments(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
+
+
+def stream_log_segments(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The same as a stream: a segment is taken up once it is there, ``files`` at most in a micro-batch.
+
+    A log is written by adding files: what is appended between two files is one segment, so a segment is as large as its
+    writer makes it and a log may be of any length.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", True)
+    return _segments((reader if files is None else reader.option("maxFilesPerTrigger", files)).text(path, wholetext=True))
+
+
+def numbered_lines(segments: DataFrame) -> DataFrame:
+    """``log_id, log, line_no, line`` of segments in a table: a line's place plus the lines of the segments before it.
+
+    Only the segments' counts are summed over a log, and joined to the lines."""
+    lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), "\r?\n")
+    cut = segments.filter("text <> ''").select("log_id", "log", "segment", lines.alias("lines"))
+    before = Window.partitionBy("log_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.select("log_id", "segment", F.size("lines").cast("bigint").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))
+    places = cut.select("log_id", "log", "segment", F.posexplode("lines").alias("k", "line")).join(counts.drop("n"), ["log_id", "segment"])
+    return places.select("log_id", "log", (F.col("earlier") + F.col("k") + 1).alias("line_no"), "line")
+
+
 def _present(flag: Column, value: Column) -> Column:
     return F.when(flag, value)
 
