@@ -160,6 +160,7 @@ def run_lines(spark: SparkSession, d: str) -> DataFrame:
                 F.lit(" file:/in/"), (n % 50).cast("string"), F.lit(".pdf timestamp:"), stamp, F.lit(">"),
             ),
         )
+        .when((F.col("event_type") == "error") & (n % 13 == 5), F.concat(F.lit("<END ANALYSIS timestamp:"), stamp, F.lit(">")))
         .when(
             F.col("event_type") == "error",
             F.concat(F.lit("<END ANALYSIS id:"), F.coalesce("open_id", F.lit("none")), F.lit(" timestamp:"), stamp, F.lit(">")),
@@ -298,6 +299,7 @@ CTES = {
         WHEN event_type = 'signup' THEN concat('<BEGIN ANALYSIS id:r', event_id, ' mode:',
              CASE WHEN event_id % 3 = 0 THEN 'batch' ELSE 'analyze' END, ' file:/in/', event_id % 50, '.pdf timestamp:',
              strftime(ts, '%Y%m%d_%H%M%S'), '>')
+        WHEN event_type = 'error' AND event_id % 13 = 5 THEN concat('<END ANALYSIS timestamp:', strftime(ts, '%Y%m%d_%H%M%S'), '>')
         WHEN event_type = 'error' THEN concat('<END ANALYSIS id:', coalesce(open_id, 'none'), ' timestamp:',
              strftime(ts, '%Y%m%d_%H%M%S'), '>')
         WHEN event_type = 'view' THEN concat('{''predicted_category'': ''C', event_id % 7, ''', ''confidence'': 0.5}')

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docsieve import fixtures as X
 from docsieve.operators import runs as R
 from docsieve.session import checkpoint_dir
+from docsieve.sources import files as S
 from docsieve.streaming import runs as ST
 
 
@@ -55,19 +56,18 @@ def j4_assign_to_run(spark, d):
 
 # The state of each log after each marker, one step at a time.
 _STEPS = f"""SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS k FROM ({MARKERS})"""
-_STATE = """SELECT log_id, 0 AS k, CAST(0 AS BIGINT) AS line_no, NULL::BIGINT AS top, NULL::VARCHAR AS top_id, NULL::BIGINT AS child, NULL::VARCHAR AS child_id,
+_CHILD = "(m.kind = 'end' AND s.child IS NOT NULL AND (m.id IS NULL OR m.id = s.child_id))"
+_TOP = f"(m.kind = 'end' AND NOT {_CHILD} AND s.top IS NOT NULL AND (m.id IS NULL OR m.id = s.top_id))"
+_INSIDE = "(m.kind = 'begin' AND m.mode = 'analyze' AND s.top IS NOT NULL)"
+_STATE = f"""SELECT log_id, 0 AS k, CAST(0 AS BIGINT) AS line_no, NULL::BIGINT AS top, NULL::VARCHAR AS top_id, NULL::BIGINT AS child, NULL::VARCHAR AS child_id,
         NULL::BIGINT AS parent, NULL::BIGINT AS closes FROM (SELECT DISTINCT log_id FROM steps)
     UNION ALL SELECT m.log_id, m.k, m.line_no,
-        CASE WHEN m.kind = 'begin' THEN CASE WHEN m.mode = 'analyze' AND s.top IS NOT NULL THEN s.top ELSE m.line_no END
-             WHEN s.child IS NOT NULL AND m.id = s.child_id THEN s.top WHEN m.id = s.top_id THEN NULL ELSE s.top END,
-        CASE WHEN m.kind = 'begin' THEN CASE WHEN m.mode = 'analyze' AND s.top IS NOT NULL THEN s.top_id ELSE m.id END
-             WHEN s.child IS NOT NULL AND m.id = s.child_id THEN s.top_id WHEN m.id = s.top_id THEN NULL ELSE s.top_id END,
-        CASE WHEN m.kind = 'begin' THEN CASE WHEN m.mode = 'analyze' AND s.top IS NOT NULL THEN m.line_no END
-             WHEN s.child IS NOT NULL AND m.id = s.child_id THEN NULL WHEN m.id = s.top_id THEN NULL ELSE s.child END,
-        CASE WHEN m.kind = 'begin' THEN CASE WHEN m.mode = 'analyze' AND s.top IS NOT NULL THEN m.id END
-             WHEN s.child IS NOT NULL AND m.id = s.child_id THEN NULL WHEN m.id = s.top_id THEN NULL ELSE s.child_id END,
-        CASE WHEN m.kind = 'begin' AND m.mode = 'analyze' THEN s.top END,
-        CASE WHEN m.kind = 'end' THEN CASE WHEN s.child IS NOT NULL AND m.id = s.child_id THEN s.child WHEN m.id = s.top_id THEN s.top END END
+        CASE WHEN m.kind = 'begin' AND NOT {_INSIDE} THEN m.line_no WHEN {_TOP} THEN NULL ELSE s.top END,
+        CASE WHEN m.kind = 'begin' AND NOT {_INSIDE} THEN m.id WHEN {_TOP} THEN NULL ELSE s.top_id END,
+        CASE WHEN {_INSIDE} THEN m.line_no WHEN m.kind = 'begin' OR {_CHILD} OR {_TOP} THEN NULL ELSE s.child END,
+        CASE WHEN {_INSIDE} THEN m.id WHEN m.kind = 'begin' OR {_CHILD} OR {_TOP} THEN NULL ELSE s.child_id END,
+        CASE WHEN {_INSIDE} THEN s.top END,
+        CASE WHEN {_CHILD} THEN s.child WHEN {_TOP} THEN s.top END
     FROM walk s JOIN steps m ON m.log_id = s.log_id AND m.k = s.k + 1"""
 _WALK = f"WITH RECURSIVE steps AS ({_STEPS}), walk AS ({_STATE})"
 _ASSIGNED = f"""SELECT r.log_id, r.line_no, result, result_kind, coalesce(child, top) AS run_line FROM ({RESULTS}) r
@@ -86,10 +86,10 @@ def j5_run_status(spark, d):
 
 
 _RUNS = """SELECT b.log_id, b.line_no AS run_line, b.id, b.mode, b.file, w.parent AS parent_line,
-    CASE WHEN e.line_no IS NULL THEN 'running' ELSE 'completed' END AS status, b.timestamp AS start_time, e.timestamp AS end_time,
+    CASE WHEN e.line_no IS NULL THEN 'running' WHEN e.id IS NULL THEN 'error' ELSE 'completed' END AS status, b.timestamp AS start_time, e.timestamp AS end_time,
     CAST(epoch(strptime(e.timestamp, '%Y%m%d_%H%M%S')) - epoch(strptime(b.timestamp, '%Y%m%d_%H%M%S')) AS BIGINT) AS duration_seconds
     FROM steps b JOIN walk w ON w.log_id = b.log_id AND w.line_no = b.line_no
-    LEFT JOIN (SELECT x.log_id, x.closes, x.line_no, s.timestamp FROM walk x JOIN steps s ON s.log_id = x.log_id AND s.line_no = x.line_no
+    LEFT JOIN (SELECT x.log_id, x.closes, x.line_no, s.id, CASE WHEN s.id IS NOT NULL THEN s.timestamp END AS timestamp FROM walk x JOIN steps s ON s.log_id = x.log_id AND s.line_no = x.line_no
         WHERE closes IS NOT NULL) e ON e.log_id = b.log_id AND e.closes = b.line_no
     WHERE b.kind = 'begin'"""
 J5 = f"{_WALK} {_RUNS}"
@@ -139,11 +139,11 @@ def j8_batch_run_summary(spark, d):
 J8 = f"""{_WALK}, found AS ({_FULL}), files AS (SELECT *, CASE WHEN status = 'completed' THEN regexp_extract(classification, 'category": "(\\w+)"', 1) END AS category
         FROM found WHERE parent_line IS NOT NULL)
     SELECT b.log_id, b.run_line, b.id, b.status, coalesce(total_files, 0) AS total_files, coalesce(completed_files, 0) AS completed_files,
-        CAST(0 AS BIGINT) AS error_files, coalesce(running_files, 0) AS running_files, coalesce(hidden_detections, 0) AS hidden_detections,
+        coalesce(error_files, 0) AS error_files, coalesce(running_files, 0) AS running_files, coalesce(hidden_detections, 0) AS hidden_detections,
         coalesce(stuffing_detections, 0) AS stuffing_detections, coalesce(will_leave, 0) AS will_leave, coalesce(will_stay, 0) AS will_stay, top_categories
     FROM (SELECT * FROM found WHERE mode = 'batch' AND parent_line IS NULL) b
     LEFT JOIN (SELECT log_id, parent_line, count(*) AS total_files, count(*) FILTER (status = 'completed') AS completed_files,
-        count(*) FILTER (status = 'running') AS running_files, count(*) FILTER (status = 'completed' AND contains(hidden_text, 'has_white_text": true')) AS hidden_detections,
+        count(*) FILTER (status = 'error') AS error_files, count(*) FILTER (status = 'running') AS running_files, count(*) FILTER (status = 'completed' AND contains(hidden_text, 'has_white_text": true')) AS hidden_detections,
         count(*) FILTER (status = 'completed' AND contains(hidden_text, 'detected": true')) AS stuffing_detections,
         count(*) FILTER (status = 'completed' AND contains(turnover, 'true')) AS will_leave,
         count(*) FILTER (status = 'completed' AND contains(turnover, 'false')) AS will_stay FROM files GROUP BY log_id, parent_line) f
@@ -188,6 +188,33 @@ def j9_stream_runs(spark, d):
 J9 = f"""{_WALK} SELECT log_id, run_line, id, mode, parent_line, status, start_time, end_time, duration_seconds FROM ({_RUNS})"""
 
 
+SEGMENT_LINES = 40
+#: Where Spark writes the segments of a log.
+SEGMENT_FOLDER = r"log_id=([^/]+)/segment=0*(\d+)/[^/]*$"
+
+
+def j9_stream_segments(spark, d):
+    """All runs of logs that come as text segments, the newest files first: each log's last segment is read before its first."""
+    base = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
+    number = F.floor((F.col("line_no") - 1) / SEGMENT_LINES) + 1
+    lines = _lines(spark, d).select("log_id", number.alias("segment"), "line_no", "line")
+    for turn in (0, 1):  # even segments are written before odd ones
+        part = lines.filter(F.col("segment") % 2 == turn).repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
+        part.select("log_id", "segment", "line").write.mode("append").partitionBy("log_id", "segment").text(f"{base}/in")
+    end = spark.sql("select -1 as log_id, 1 as segment, '<END ANALYSIS id:none timestamp:20940101_000000>' as line")
+    end.write.mode("append").partitionBy("log_id", "segment").text(f"{base}/in")  # the last file: what is open times out
+    segments = S.stream_log_segments(spark, f"{base}/in", files=1000, pattern=SEGMENT_FOLDER)
+    query = (
+        ST.stream_segment_runs(segments, delay="18000 days")
+        .writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    named = S.read_log_segments(spark, f"{base}/in", SEGMENT_FOLDER).select("log_id", "log").distinct()
+    out = spark.read.parquet(f"{base}/out").join(named, "log_id")
+    return out.select(F.col("log").cast("bigint").alias("log_id"), "run_line", "id", "mode", "parent_line", "status", "start_time", "end_time", "duration_seconds")
+
+
 def j10_stream_batch_counts(spark, d):
     """Windows that a watermarked stream closes; a last line far ahead closes all of the log's."""
     lines = _lines(spark, d)
@@ -227,6 +254,7 @@ QUERIES = {
     "j7_runs_with_results": j7_runs_with_results,
     "j8_batch_run_summary": j8_batch_run_summary,
     "j9_stream_runs": j9_stream_runs,
+    "j9_stream_segments": j9_stream_segments,
     "j10_stream_batch_counts": j10_stream_batch_counts,
     "j10_batch_counts": j10_batch_counts,
     "j10_log_sessions": j10_log_sessions,
@@ -244,6 +272,7 @@ ORACLE = {
         "j7_runs_with_results": J7_ALL,
         "j8_batch_run_summary": J8,
         "j9_stream_runs": J9,
+        "j9_stream_segments": J9,
         "j10_stream_batch_counts": J10,
         "j10_batch_counts": J10,
         "j10_log_sessions": J10_SESSIONS,

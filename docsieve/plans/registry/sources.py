@@ -127,6 +127,18 @@ def a9_read_run_log(spark, d):
     return S.read_run_log(spark, f"{path}/*").groupBy("line_no", "line").agg(F.count("*").alias("n"))
 
 
+def a9_numbered_segments(spark, d):
+    """The same lines written as numbered segments of each log, forty lines each, and numbered over the segments."""
+    path = _folder(spark, "segments")
+    number = F.floor((F.col("line_no") - 1) / 40) + 1
+    lines = X.run_lines(spark, d).select("log_id", number.alias("segment"), "line_no", "line")
+    placed = lines.repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
+    placed.select("log_id", "segment", "line").write.partitionBy("log_id", "segment").text(path)
+    segments = S.read_log_segments(spark, path, r"log_id=([^/]+)/segment=0*(\d+)/[^/]*$")
+    return S.numbered_lines(segments).select(F.col("log").cast("bigint").alias("log_id"), "line_no", "line")
+
+
+A9_SEGMENTS = "SELECT log_id, line_no, line FROM run_lines"
 A9 = "SELECT line_no, line, count(*) AS n FROM run_lines GROUP BY ALL"
 
 QUERIES = {
@@ -138,6 +150,7 @@ QUERIES = {
     "a6_filter_ocr_words": a6_filter_ocr_words,
     "a7_prefer_existing": a7_prefer_existing,
     "a9_read_run_log": a9_read_run_log,
+    "a9_numbered_segments": a9_numbered_segments,
 }
 ORACLE = {
     name: X.oracle(sql)
@@ -150,5 +163,6 @@ ORACLE = {
         "a6_filter_ocr_words": A6,
         "a7_prefer_existing": A7,
         "a9_read_run_log": A9,
+        "a9_numbered_segments": A9_SEGMENTS,
     }.items()
 }

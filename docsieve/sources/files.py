@@ -130,30 +130,32 @@ def stream_run_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
 SEGMENT_FILE = r"([^/]+)/0*(\d+)\.[^/]*$"
 
 
-def _segments(files: DataFrame) -> DataFrame:
+def _segments(files: DataFrame, pattern: str) -> DataFrame:
     path = F.col("_metadata.file_path")
     return files.select(
-        F.xxhash64(F.regexp_replace(path, r"/[^/]*$", "")).alias("log_id"),
-        F.regexp_extract(path, SEGMENT_FILE, 1).alias("log"),
-        F.try_to_number(F.nullif(F.regexp_extract(path, SEGMENT_FILE, 2), F.lit("")), F.lit("9" * 18)).cast("bigint").alias("segment"),
+        F.xxhash64(F.regexp_replace(path, pattern, "$1")).alias("log_id"),
+        F.regexp_extract(path, pattern, 1).alias("log"),
+        F.regexp_extract(path, pattern, 2).try_cast("bigint").alias("segment"),
         F.col("_metadata.file_modification_time").alias("written"),
         F.col("value").alias("text"),
     ).filter("segment is not null")
 
 
-def read_log_segments(spark: SparkSession, path: str) -> DataFrame:
-    """``log_id, log, segment, written, text`` of the segment files under ``path``, one row a file."""
-    return _segments(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
+def read_log_segments(spark: SparkSession, path: str, pattern: str = SEGMENT_FILE) -> DataFrame:
+    """``log_id, log, segment, written, text`` of the segment files under ``path``, one row a file.
 
+    ``pattern`` finds a log's name and a segment's number in a path; other files are passed over."""
+    return _segments(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True), pattern)
 
-def stream_log_segments(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+
+def stream_log_segments(spark: SparkSession, path: str, files: int | None = None, pattern: str = SEGMENT_FILE) -> DataFrame:
     """The same as a stream: a segment is taken up once it is there, ``files`` at most in a micro-batch.
 
     A log is written by adding files: what is appended between two files is one segment, so a segment is as large as its
     writer makes it and a log may be of any length.
     """
     reader = spark.readStream.option("recursiveFileLookup", True)
-    return _segments((reader if files is None else reader.option("maxFilesPerTrigger", files)).text(path, wholetext=True))
+    return _segments((reader if files is None else reader.option("maxFilesPerTrigger", files)).text(path, wholetext=True), pattern)
 
 
 def numbered_lines(segments: DataFrame) -> DataFrame:
