@@ -5,13 +5,13 @@ Every test gives ``doc_id, method, suspicious, confidence, n``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.matching import tagged_matches
-from docsieve.functions.text import clip, contiguous, cosine, match_tokens, ngrams, phrase_tokens, words
+from docsieve.functions.text import clip, cosine, match_tokens, ngrams, phrase_tokens, words
 from docsieve.operators.spans import with_following
 
 VERDICT = ("doc_id", "method", "suspicious", "confidence", "n")
@@ -128,30 +128,91 @@ def phrase_lexicon(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("kind", "category", F.array_join(tokens, " ").alias("phrase"), F.size(tokens).alias("len"))
 
 
-def match_phrases(texts: DataFrame, lexicon: DataFrame, column: str = "text", longest: int | None = None) -> DataFrame:
+#: Phrase beginnings (first token and length) that are looked up inside the row; more of them are joined.
+LITERAL_BEGINNINGS = 4096
+
+
+def _begin(tokens: Column, starts: Column | None, wanted: Callable[[Column], Column]) -> Column:
+    """(token, place from 1) where a phrase may begin, among the first ``starts`` tokens."""
+    first = tokens if starts is None else F.slice(tokens, F.lit(1), starts)
+    return F.filter(F.transform(first, lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i"))), lambda p: wanted(p["t"]))
+
+
+def _runs_of_small(tokens: Column, starts: Column | None, beginnings: dict[int, list[str]]) -> Column:
+    """The token runs of each phrase length that begin like a phrase of that length, by sets held in the expression."""
+
+    def runs(n: int, firsts: list[str]) -> Column:
+        places = _begin(tokens, starts, lambda t: t.isin(firsts))
+        return F.transform(F.filter(places, lambda p: p["i"] + n - 1 <= F.size(tokens)), lambda p: F.array_join(F.slice(tokens, p["i"], F.lit(n)), " "))
+
+    return F.flatten(F.array(*[runs(n, firsts) for n, firsts in sorted(beginnings.items())]))
+
+
+def _with_beginnings(tokens: DataFrame, source: Column, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """``lengths``: for the tokens of a row that begin phrases, how long those are. Rows without any are left out.
+
+    A row's distinct tokens meet the first tokens of the phrases; only what is found goes back to the row.
+    """
+    index = phrases.select(F.substring_index("phrase", " ", 1).alias("first"), "len").groupBy("first").agg(F.array_sort(F.collect_set("len")).alias("lens"))
+    keyed = tokens.withColumn("_row", F.xxhash64(source))
+    met = keyed.select(*keys, "_row", F.explode(F.array_distinct("tokens")).alias("first")).distinct().join(index, "first")
+    found = met.groupBy(*keys, "_row").agg(F.map_from_entries(F.collect_list(F.struct("first", "lens"))).alias("lengths"))
+    same = F.lit(True)
+    for c in (*keys, "_row"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    return keyed.join(found.select(*[F.col(c).alias(f"_f_{c}") for c in (*keys, "_row")], "lengths"), same)
+
+
+def _runs_of_large(tokens: Column, starts: Column | None) -> Column:
+    places = _begin(tokens, starts, lambda t: F.map_contains_key("lengths", t))
+    each = F.transform(
+        places,
+        lambda p: F.transform(
+            F.filter(F.element_at("lengths", p["t"]), lambda n: p["i"] + n - 1 <= F.size(tokens)), lambda n: F.array_join(F.slice(tokens, p["i"], n), " ")
+        ),
+    )
+    return F.flatten(each)
+
+
+def match_phrases(
+    texts: DataFrame, lexicon: DataFrame, column: str = "text", longest: int | None = None, literal: int = LITERAL_BEGINNINGS
+) -> DataFrame:
     """Every token-sequence match of a lexicon phrase, overlaps included, counted per document and phrase.
 
-    ``texts`` may be whole documents or chunks (``side, chunk``); chunk borders are bridged. Token runs meet the
-    lexicon in an equi-join, which Spark broadcasts only while the lexicon is small. All lengths that occur are searched;
-    the driver reads one number for each. A lexicon without phrases matches nothing.
+    ``texts`` may be whole documents or chunks (``side, chunk``); chunk borders are bridged. A run of tokens is only built
+    where a phrase of its length begins with its first token, so what goes on to the equi-join with the lexicon is in
+    proportion to such beginnings, not to tokens times lengths. Up to ``literal`` beginnings are part of the expression,
+    more are joined to the distinct tokens of each row; both give the same. A lexicon without phrases matches nothing.
     """
     phrases = phrase_lexicon(lexicon).filter("len > 0")
-    if longest is None:
-        lengths = sorted(r.len for r in phrases.select("len").distinct().collect())
-    else:
-        lengths = list(range(1, longest + 1))
+    if longest is not None:
+        phrases = phrases.filter(F.col("len") <= longest)
+    beginnings = phrases.select(F.substring_index("phrase", " ", 1).alias("first"), "len").distinct()
+    known = beginnings.limit(literal + 1).collect()
+    small = len(known) <= literal
+    most = max((r.len for r in known), default=1) if small else phrases.agg(F.max("len")).first()[0]
     keys = [c for c in ("doc_id", "side") if c in texts.columns]
-    tokens = texts.select(*keys, *[c for c in ("chunk",) if c in texts.columns], phrase_tokens(column).alias("tokens"))
+    place = [c for c in ("chunk",) if c in texts.columns]
+    tokens = texts.select(*keys, *place, phrase_tokens(column).alias("tokens"))
     tokens = tokens.filter(F.size("tokens") > 0)
-    reach = max(lengths, default=1) - 1
+    reach = most - 1
     run_source, starts = F.col("tokens"), None
-    if "chunk" in texts.columns and reach > 0:
+    if place and reach > 0:
         tokens = with_following(
             tokens, F.slice("tokens", 1, reach), reach, lambda h: F.slice(F.flatten(h), 1, reach), "next_tokens"
         )
         run_source = F.when(F.col("next_tokens").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "next_tokens"))
         starts = F.size("tokens")
-    runs = F.flatten(F.array(*[contiguous(run_source, n, starts) for n in lengths])) if lengths else F.array().cast("array<string>")
+    if not known:
+        runs = F.array().cast("array<string>")
+    elif small:
+        firsts: dict[int, list[str]] = {}
+        for r in known:
+            firsts.setdefault(r.len, []).append(r.first)
+        runs = _runs_of_small(run_source, starts, firsts)
+    else:
+        tokens = _with_beginnings(tokens, run_source, phrases, keys + place)
+        runs = _runs_of_large(run_source, starts)
     found = tokens.select(*keys, F.explode(runs).alias("phrase")).join(phrases, "phrase")
     return found.groupBy(*keys, "kind", "category", "phrase").agg(F.count("*").alias("n"))
 

@@ -13,9 +13,11 @@ def normalise_terms(
 ) -> DataFrame:
     """Tokens found in ``lemmas`` (``form, lemma``) become their lemma, others stay.
 
-    A small table is looked up inside the row; a larger one is joined once per distinct token of a document.
+    A small table is looked up inside the row; a larger one is joined once per distinct token of a document. Of several
+    lemmas of a form the smallest holds; a null form or lemma changes nothing.
     """
-    rows = lemmas.select("form", "lemma").distinct().limit(limit + 1).collect()
+    lemmas = lemmas.filter("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    rows = lemmas.limit(limit + 1).collect()
     if len(rows) <= limit:
         pairs = [F.lit(v) for r in rows for v in (r.form, r.lemma)]
         table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")

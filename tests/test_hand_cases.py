@@ -138,6 +138,13 @@ def test_large_lemma_tables_are_joined(spark):
         assert rows == {1: ["run", "to", "run"], 2: ["x"]}
 
 
+@pytest.mark.parametrize("limit", [10, 0])
+def test_forms_with_two_lemmas_take_the_smallest(spark, limit):
+    tokens = spark.createDataFrame([(1, ["runs", "left", "x"])], "doc_id long, tokens array<string>")
+    lemmas = spark.createDataFrame([("left", "leave"), ("left", "left"), ("unused", "b"), ("unused", "a"), ("runs", None), (None, "q")], "form string, lemma string")
+    assert normalise_terms(tokens, lemmas, limit=limit).first().tokens == ["runs", "leave", "x"]
+
+
 LOG = [
     "<BEGIN ANALYSIS id:a mode:analyze file:x.pdf timestamp:20240101_000000>",
     "{'predicted_category': 'HR'}",

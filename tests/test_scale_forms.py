@@ -60,6 +60,40 @@ def test_runs_and_keywords_cross_chunk_borders(spark, long_document, pages):
         assert sorted(form(whole).collect(), key=str) == sorted(form(cut).collect(), key=str)
 
 
+@pytest.mark.parametrize("literal", [4096, 0])
+def test_long_phrases_and_large_lexicons(spark, long_document, literal):
+    """Phrases of up to 70 tokens, over chunk borders, whether beginnings are held in the expression or joined."""
+    long = " ".join(r.content for r in S.side_content(S.text_chunks(long_document, pages=1), "visible").collect())
+    tokens = long.split()
+    phrases = [tokens[at : at + n] for at, n in ((0, 70), (3, 1), (5, 2), (9, 9), (20, 33), (1, 70))] + [["red", "red", "red"], ["nowhere"], ["red"], ["blue", "bolt"]]
+    rows = [("k", "A", " ".join(p), 1.0, k) for k, p in enumerate(phrases)]
+    lexicon = spark.createDataFrame(rows, X.LEXICON_SCHEMA)
+    whole = {}
+    for (doc, side), spans in S.side_content(S.text_chunks(long_document, pages=1), "visible").rdd.map(lambda r: ((r.doc_id, "visible"), r.content.split())).collect():
+        for p in {tuple(p) for p in phrases}:
+            n = sum(tuple(spans[i : i + len(p)]) == p for i in range(len(spans)))
+            if n:
+                whole[doc, " ".join(p)] = n * sum(list(p) == q for q in phrases)
+    chunks = S.text_chunks(long_document, pages=1).filter("side = 'visible'")
+    found = {(r.doc_id, r.phrase): r.n for r in M.match_phrases(chunks, lexicon, literal=literal).collect()}
+    assert found == whole and max(len(p.split()) for _, p in found) == 70
+    twice = spark.createDataFrame([(1, "red bolt red"), (1, "red bolt red"), (None, "red"), (2, None), (3, "")], "doc_id long, text string")
+    again = {(r.doc_id, r.phrase): r.n for r in M.match_phrases(twice, lexicon, literal=literal).collect()}
+    assert again[1, "red"] == 4 * sum(p == ["red"] for p in phrases) and again[None, "red"] == sum(p == ["red"] for p in phrases)
+    assert M.match_phrases(twice, lexicon.limit(0), literal=literal).count() == 0
+
+
+def test_beginnings_bound_the_runs(spark):
+    """A text that holds one beginning gives one run, whatever lengths the lexicon has."""
+    text = " ".join(f"t{i}" for i in range(500))
+    rows = [("k", "A", " ".join(f"t{i}" for i in range(7, 7 + n)), 1.0, n) for n in (2, 30, 70)]
+    lexicon = spark.createDataFrame(rows, X.LEXICON_SCHEMA)
+    texts = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    tokens = texts.select(M.phrase_tokens("text").alias("tokens"))
+    runs = tokens.select(F.size(M._runs_of_small(F.col("tokens"), None, {2: ["t7"], 30: ["t7"], 70: ["t7"]}))).first()[0]
+    assert runs == 3 and M.match_phrases(texts, lexicon).count() == 3
+
+
 def test_scoring_by_join_equals_scoring_in_the_row(spark):
     texts = spark.createDataFrame(
         [(1, "a a a b  ab a"), (2, ""), (3, "aa a b\na"), (4, "a a")], "doc_id long, text string"
