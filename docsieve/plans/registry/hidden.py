@@ -322,7 +322,7 @@ D9 = f"""SELECT doc_id, 'patterns' AS method, coalesce(n, 0) >= 1 AS suspicious,
 # --- vectors and intent ---------------------------------------------------------------------------------------------
 
 
-def _pairs(spark, d):
+def vector_pairs(spark, d):
     vectors = X.table(spark, d, "embeddings")
     visible = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("visible_vec"))
     following = vectors.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").cast("array<double>").alias("next_vec"))
@@ -333,7 +333,7 @@ def _pairs(spark, d):
 
 
 def d10_vector_similarity(spark, d):
-    return M.vector_similarity(_pairs(spark, d)).select("doc_id", *_r("similarity"))
+    return M.vector_similarity(vector_pairs(spark, d)).select("doc_id", *_r("similarity"))
 
 
 SIMILAR = """SELECT doc_id, list_sum(list_transform(generate_series(1, len(a)), lambda i: a[i] * b[i]))
@@ -345,7 +345,7 @@ D10 = f"SELECT doc_id, round(s, 6) AS similarity FROM ({SIMILAR})"
 
 
 def d11_similarity_verdict(spark, d):
-    verdict = M.similarity_verdict(M.vector_similarity(_pairs(spark, d)))
+    verdict = M.similarity_verdict(M.vector_similarity(vector_pairs(spark, d)))
     return verdict.select("doc_id", "method", "suspicious", *_r("confidence"))
 
 
@@ -361,7 +361,7 @@ _LABELS = {
 }
 
 
-def _intents(spark, d):
+def intent_scores(spark, d):
     label = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _LABELS.items()])
     sums = X.table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id"), label.alias("label")).agg(F.sum("value").alias("s"))
     totals = sums.groupBy("doc_id").agg(F.sum("s").alias("t"))
@@ -369,7 +369,7 @@ def _intents(spark, d):
 
 
 def d12_intent_verdict(spark, d):
-    verdict = M.intent_verdict(_intents(spark, d))
+    verdict = M.intent_verdict(intent_scores(spark, d))
     return verdict.select("doc_id", "method", "suspicious", *_r("confidence"), "top_label", "second_label")
 
 
@@ -385,7 +385,7 @@ D12 = f"""SELECT doc_id, 'intent' AS method, top_label = 'keyword stuffing' AS s
 # --- entities -------------------------------------------------------------------------------------------------------
 
 
-def _gazetteer(spark, d):
+def gazetteer(spark, d):
     """Chosen lexicon categories, extra words, and the names of parts that cost less than average, from the whole table."""
     chosen = union_terms(X.product_lexicon(spark), {"skill": ["size"], "industry": ["part"]}, ["Anvil", "GREEN"])
     parts = X.table(spark, d, "part")
@@ -396,7 +396,7 @@ def _gazetteer(spark, d):
 
 
 def d13_build_gazetteer(spark, d):
-    return _gazetteer(spark, d)
+    return gazetteer(spark, d)
 
 
 GAZETTEER = """SELECT lower(term) AS term FROM product_lexicon WHERE (kind = 'skill' AND category = 'size') OR (kind = 'industry' AND category = 'part')
@@ -405,10 +405,12 @@ GAZETTEER = """SELECT lower(term) AS term FROM product_lexicon WHERE (kind = 'sk
 
 
 def d14_drop_gazetteer_entities(spark, d):
-    kept = M.drop_gazetteer_entities(X.entities(spark, d), _gazetteer(spark, d))
+    kept = M.drop_gazetteer_entities(X.entities(spark, d), gazetteer(spark, d))
     return kept.groupBy("doc_id", "side", "label", "text").agg(F.count("*").alias("n"))
 
 
+KEPT_ENTITIES = r"""SELECT e.* FROM entities e WHERE side = 'visible' OR NOT (lower(text) IN (SELECT term FROM gazetteer)
+    OR EXISTS (SELECT 1 FROM gazetteer g WHERE list_contains(regexp_split_to_array(lower(e.text), '\s+'), g.term)))"""
 D14 = f"""WITH g AS ({GAZETTEER}) SELECT doc_id, side, label, text, count(*) AS n FROM entities e
     WHERE side = 'visible' OR NOT (lower(text) IN (SELECT term FROM g)
         OR EXISTS (SELECT 1 FROM g WHERE list_contains(regexp_split_to_array(lower(e.text), '\\s+'), g.term))) GROUP BY ALL"""

@@ -17,9 +17,11 @@ from docsieve.session import cut_lineage
 
 
 def documents(spark, d):
+    """Every document that has a resume or spans; one without a resume has an empty text."""
     resumes = X.resumes(spark, d).withColumnRenamed("candidate_id", "doc_id")
+    others = X.spans(spark, d).select("doc_id").distinct().join(resumes.select("doc_id"), "doc_id", "left_anti")
     path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return resumes.withColumn("path", path)
+    return resumes.unionByName(others.withColumn("text", F.lit(""))).withColumn("path", path)
 
 
 def analysed(spark, d, stages=A.STAGES):
@@ -35,6 +37,9 @@ def analysed(spark, d, stages=A.STAGES):
         keywords=STUFFING,
         phrase_lexicon=X.product_lexicon(spark),
         entities=X.entities(spark, d),
+        gazetteer=HQ.gazetteer(spark, d),
+        vectors=HQ.vector_pairs(spark, d),
+        intents=HQ.intent_scores(spark, d),
         stop_words=X.STOP_WORDS,
         keep=cut_lineage,
     )
@@ -59,13 +64,23 @@ _ADJUSTED = (
 )
 _GAPS = EQ.GAPS.replace("rec_id", "match_no").replace("FROM employment", "FROM dated")
 _TURNOVER = (
-    EQ.SCORED.replace(EQ.GAPS, _GAPS).replace("FROM employment", "FROM extracted").replace(EQ.CANDIDATES, "SELECT candidate_id FROM resumes")
+    EQ.SCORED.replace(EQ.GAPS, _GAPS).replace("FROM employment", "FROM extracted").replace(EQ.CANDIDATES, "SELECT doc_id AS candidate_id FROM resume_docs")
 )
-_FOUND = f"{HQ.D3} UNION ALL {HQ.D7} UNION ALL {HQ.D16}"
+# Five of the six tests; the sixth finds no pattern in names of parts.
+_CONTEXT = HQ.D16.replace("FROM entities h", "FROM kept_entities h").replace("FROM entities v", "FROM kept_entities v")
+_SIMILAR = f"""SELECT doc_id, 'semantic_similarity' AS method, hidden_tokens >= 3 AND (s < 0.3 OR s > 0.95) AS suspicious,
+    CASE WHEN hidden_tokens < 3 THEN 0 WHEN s < 0.3 THEN 1 - s / 0.3 WHEN s > 0.95 THEN (s - 0.95) * 20 ELSE 0 END AS confidence, 0 AS n
+    FROM ({HQ.SIMILAR}) JOIN ({HQ.SIZES}) USING (doc_id)"""
+_INTENT = f"""SELECT doc_id, method, suspicious AND hidden_words >= 5 AS suspicious, CASE WHEN hidden_words >= 5 THEN confidence ELSE 0 END AS confidence, 0 AS n
+    FROM ({HQ.D12}) JOIN ({HQ.SIZES}) USING (doc_id)"""
+_FOUND = f"{HQ.D3} UNION ALL {HQ.D7} UNION ALL {_CONTEXT} UNION ALL {_SIMILAR} UNION ALL {_INTENT}"
 _COMBINED = HQ.COMBINED.replace(HQ.VERDICTS, _FOUND)
 _DEGREES = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in TQ._DEGREES)
 _SECTIONS = " + ".join(rf"len(regexp_extract_all(text, '(?i)\b{h}\b'))" for h in TQ.R.EXPERIENCE_HEADERS)
 RESULT = {
+    "resume_docs": "SELECT candidate_id AS doc_id, text FROM resumes UNION ALL SELECT DISTINCT doc_id, '' FROM spans WHERE doc_id NOT IN (SELECT candidate_id FROM resumes)",
+    "gazetteer": HQ.GAZETTEER,
+    "kept_entities": HQ.KEPT_ENTITIES,
     "extracted": EQ.EXTRACTED,
     "dated": "SELECT * FROM extracted WHERE start_date IS NOT NULL AND end_date IS NOT NULL",
     "scored": _TURNOVER,
