@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import running_before, table, text_key, text_of, word_count
@@ -124,14 +124,35 @@ def training_order(plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` in training order, each as often as the mix takes it (whole), in the struct ``doc``. Documents
-    without words cost a source nothing and come once, at their planned position."""
+    """The rows of ``docs`` in training order, each as often as the mix takes it (whole), in the struct ``doc``.
+
+    Documents without words, nulls among them, cost a source nothing and come once, at their planned position. Rows that
+    repeat id, text and source have places of their own in the plan; each gets one of them, told apart by their other
+    columns, and equal rows are interchangeable. Copies at one position are in the order of ids, then texts; a null id comes
+    first. An empty table gives no rows. Other columns may have any name.
+    """
+    key = ["doc_id", "text_key", "source"]
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), text_key(text_of(F.col("text"))).alias("_key"), F.col("source").alias("_source"))
-    plan = plan_mix(docs, schedules, share, most, whole=True).filter("taken > 0 OR size = 0").select("doc_id", "text_key", "source", "times")
-    plan = plan.groupBy("doc_id", "text_key", "source").agg(F.first("times").alias("times"))  # repeated rows have places of their own, but equal shares
+    plan = plan_mix(docs, schedules, share, most, whole=True).select(*key, F.when((F.col("taken") > 0) | (F.col("size") == 0), F.col("times")).alias("times"))
+    groups = plan.groupBy(*key).agg(F.first("times").alias("times"), F.count(F.lit(1)).alias("_n"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")) & F.col("_source").eqNullSafe(F.col("source"))
-    copies = rows.join(plan, same).select("doc", F.explode("times").alias("position"))
-    return copies.orderBy("position")
+    met = rows.join(groups, same)
+    alone = met.filter("_n = 1").select("doc", "_id", "_key", "times")
+
+    number = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order)).alias("_no")
+    again = met.filter("_n > 1").select("doc", *key, number(F.to_json("doc")))
+    places = plan.join(groups.filter("_n > 1").select(*[F.col(c).alias(f"_g_{c}") for c in key]), _all_same(key, "_g_"))
+    places = places.select(*[F.col(c).alias(f"_p_{c}") for c in key], "times", F.row_number().over(Window.partitionBy(*key).orderBy("times")).alias("_p_no"))
+    repeated = again.join(places, _all_same([*key, "_no"], "_p_", {"_no": "_p_no"})).select("doc", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "times")
+    copies = alone.unionByName(repeated).select("doc", "_id", "_key", F.explode("times").alias("position"))
+    return copies.orderBy("position", "_id", "_key").select("doc", "position")
+
+
+def _all_same(columns: list[str], prefix: str, names: dict[str, str] | None = None) -> Column:
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(c).eqNullSafe(F.col((names or {}).get(c, prefix + c)))
+    return found
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,16 @@ def test_documents_without_words_stay_in_the_mix(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = collections.Counter(tuple(r) for r in mixing.mix(docs).select("doc.*").collect())
     assert {r: n for r, n in got.items() if not (r[1] or "").split()} == {r: n for r, n in collections.Counter(rows).items() if not (r[1] or "").split()}
+
+
+def test_repeated_rows_share_the_copies(spark):
+    rows = [(1, "x y", "a", str(k % 4)) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(3)
+    plan = mixing.plan_mix(docs, whole=True).collect()
+    taken = [tuple(r) for r in mixing.mix(docs).select("doc.*", "position").collect()]
+    assert sum(r.taken for r in plan) == 30 and len(taken) == 15  # half as many words again as there are
+    assert sorted(r[-1] for r in taken) == [r[-1] for r in taken] == sorted(t for r in plan for t in r.times)
+    assert max(collections.Counter(r[3] for r in taken).values()) <= 6
+    nulls = spark.createDataFrame([(None, "x y", None)] * 4 + [(2, "z", None)], "doc_id long, text string, source string")
+    assert [tuple(r) for r in mixing.mix(nulls).collect()] == [tuple(r) for r in mixing.mix(nulls.repartition(4)).collect()]
+    assert len(mixing.mix(nulls.limit(0)).collect()) == 0
