@@ -286,6 +286,14 @@ def test_backoff_scores(odd, empty, monkeypatch, order):
     assert lm_score.backoff_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("load", [0, 1 << 30])
+def test_backoff_scores_whatever_the_sketch(odd, monkeypatch, load):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 5_000)
+    monkeypatch.setattr(lm_score, "LOAD", load)  # cells that all n-grams share, or many for each
+    got = lm_score.backoff_scores(odd, order=3).collect()
+    assert sorted((r.n_words, round(r.log_score, 4)) for r in got) == scores_by_hand(odd_rows(), 3)
+
+
 # -- pieces
 
 
