@@ -25,6 +25,8 @@ from docsieve.llm import grams
 from docsieve.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Rows whose ids are turned into text at once.
+DECODED = 256
 #: The sign that stands for a space.
 SPACE = "▁".encode()
 #: Score of a byte that no piece covers, below any way by pieces.
@@ -469,6 +471,37 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, check: bool = True) -> Da
     return rows.mapInArrow(_encode(shared, check), T.StructType([rows.schema["doc"], *(T.StructField(*a) for a in added)]))
 
 
+def _decode(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        back, size = decoder(vocabulary), len(vocabulary.pieces)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED):
+                rows = batch.slice(at, DECODED)
+                texts, unknown = [], []
+                for ids in rows.column("piece_ids").to_pylist():
+                    known = [i for i in ids or () if i is not None and 0 <= i < size]
+                    texts.append(None if ids is None else back(known).decode(errors="replace"))
+                    unknown.append(len(ids or ()) - len(known))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(texts, pa.string()), pa.array(unknown, pa.int64())], names=["row", "text", "n_unknown"])
+
+    return run
+
+
+def decode_pieces(encoded: DataFrame, model: str = MODEL, column: str = "piece_ids") -> DataFrame:
+    """row (the row's columns), text, n_unknown of every row: the text whose pieces ``column`` holds, an array of ids.
+
+    What ``encode_pieces`` gave comes back as the very text, what SentencePiece gave as it decodes it. A null array gives a
+    null text, an empty one an empty text. Null ids and ids that the model doesn't have give nothing and are counted in
+    ``n_unknown``; byte pieces that are no UTF-8 come as U+FFFD. Repeated rows are decoded each, an empty table gives no
+    rows, and other columns may have any name. Nothing is shuffled.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    rows = encoded.select(F.struct("*").alias("row"), F.col(column).cast("array<long>").alias("piece_ids"))
+    added = [("text", T.StringType()), ("n_unknown", T.LongType())]
+    return rows.mapInArrow(_decode(shared), T.StructType([rows.schema["row"], *(T.StructField(*a) for a in added)]))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs).select("doc.doc_id", "n_pieces", "piece_ids", "round_trip")

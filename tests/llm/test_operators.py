@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import oracle
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from docsieve.llm import ann, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pieces, queries, sharding, substring_dedup, toxicity
@@ -324,6 +325,21 @@ def test_pieces_round_trip(odd, docs, empty):
     assert pieces.encode_pieces(empty).count() == 0
 
 
+def test_pieces_of_a_table_decode(spark, odd):
+    encoded = pieces.encode_pieces(odd).select(F.col("doc.text").alias("text"), "piece_ids", F.lit("x").alias("row"))
+    got = pieces.decode_pieces(encoded).select("row.*", F.col("text").alias("back"), "n_unknown").collect()
+    assert len(got) == odd.count() and all(r.back == (r.text or "") and r.n_unknown == 0 and r["row"] == "x" for r in got)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["The quick  brown fox", "日本語 🙂", " a"]
+    size = model.get_piece_size()
+    rows = [(k, model.encode(t)) for k, t in enumerate(texts)] + [(3, None), (4, []), (5, [None, -1, size, *model.encode("ab")]), (5, [])]
+    table = spark.createDataFrame(rows, "text int, ids array<int>")
+    found = pieces.decode_pieces(table, column="ids").select("row.text", F.col("text").alias("back"), "n_unknown").collect()
+    want = [(k, model.decode(ids), 0) for k, ids in rows[:3]] + [(3, None, 0), (4, "", 0), (5, "ab", 3), (5, "", 0)]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert pieces.decode_pieces(table.limit(0), column="ids").count() == 0
+
+
 # -- mixing
 
 
