@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from docsieve.llm import grams
 from docsieve.llm.common import table
+from docsieve.session import cut_lineage
 
 U64 = grams.U64
 #: Places into which words and their beginnings are hashed, and lengths (bytes) of the beginnings.
@@ -73,38 +74,89 @@ def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["place", "clean", "toxic"])
 
 
-def _rows_of(chosen, terms: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each labelled text's chosen places, and how many of its sentences name each term."""
+def _rows_of(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each labelled text's chosen places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << WIDTH_BITS, bool)
-        wanted[chosen] = True
-        ids = grams.words(*_joined(terms), lower=True, blank=grams.NON_LETTER)[0].ids
-        stops = np.zeros(256, np.int64)
-        stops[[10, 33, 46, 63]] = 1  # line end ! . ?
+        wanted = _wanted(chosen)
         for batch in batches:
             for rows, data, offsets in grams.pieces(batch, "text"):
                 owner, places = _presence(data, offsets, wanted)
                 cuts = np.searchsorted(owner, np.arange(rows.num_rows + 1))
-                w, _ = grams.words(data, offsets, lower=True, blank=grams.NON_LETTER)
-                named = np.flatnonzero(np.isin(w.ids, ids))
-                sentence = np.cumsum(stops[data])[w.starts[named]] if len(named) else np.zeros(0, np.int64)
-                text = grams.text_of_word(w, named)
-                mentions = [[] for _ in range(rows.num_rows)]
-                for i, s, h in sorted(set(zip(text.tolist(), sentence.tolist(), w.ids[named].tolist()))):
-                    mentions[i].append(int(np.flatnonzero(ids == U64(h))[0]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("toxic"),
-                        pa.array([places[cuts[i] : cuts[i + 1]].tolist() for i in range(rows.num_rows)], pa.list_(pa.int32())),
-                        pa.array(mentions, pa.list_(pa.int32())),
-                    ],
-                    names=["toxic", "places", "mentions"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(places.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("toxic"), lists], names=["toxic", "places"])
 
     return run
 
 
+def _wanted(chosen: np.ndarray) -> np.ndarray:
+    wanted = np.zeros(1 << WIDTH_BITS, bool)
+    wanted[chosen] = True
+    return wanted
+
+
+def swapped_sentences(data: np.ndarray, offsets: np.ndarray, terms: Sequence[str], wanted: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
+    """(lost, gained) wanted places of each sentence that names a group when the name, wherever the sentence has it, is
+    swapped for each other name, and for none. A sentence ends at a line's end, '.', '!' or '?', and with its text."""
+    ids = grams.words(*_joined(terms), lower=True, blank=grams.NON_LETTER)[0].ids
+    w, _ = grams.words(data, offsets, lower=True, blank=grams.NON_LETTER)
+    named = np.flatnonzero(np.isin(w.ids, ids))
+    if not len(named):
+        return
+    stops = np.zeros(256, np.int64)
+    stops[[10, 33, 46, 63]] = 1
+    sentence = np.cumsum(stops[data])[w.starts] + np.repeat(np.arange(len(offsets) - 1), w.counts)
+    names = [set(places[wanted[places]].tolist()) for places in term_features(terms)] + [set()]
+    for first, term in sorted(set(zip(np.searchsorted(sentence, sentence[named]).tolist(), w.ids[named].tolist()))):
+        last = int(np.searchsorted(sentence, sentence[first], side="right")) - 1
+        raw = data[w.starts[first] : w.ends[last]].copy()
+        for k in np.flatnonzero(w.ids[first : last + 1] == U64(term)) + first:
+            raw[w.starts[k] - w.starts[first] : w.ends[k] - w.starts[first]] = 32
+        rest = set(_presence(raw, np.array([0, len(raw)]), wanted)[1].tolist())
+        here = int(np.flatnonzero(ids == U64(term))[0])
+        for other, places in enumerate(names):
+            if other != here:
+                yield sorted(names[here] - rest - places), sorted(places - rest - names[here])
+
+
+def _swaps(chosen: np.ndarray, terms: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _wanted(chosen)
+        for batch in batches:
+            for _, data, offsets in grams.pieces(batch, "text"):
+                found = list(swapped_sentences(data, offsets, terms, wanted))
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["lost", "gained"])
+
+    return run
+
+
+class Problem(NamedTuple):
+    """What is minimised, over one weight a chosen place and a bias. ``rows`` and ``places`` are the pairs of text and place;
+    ``swaps``, ``moved`` and ``signs`` the places that a swap takes (-1) or brings (1); ``often`` is each swap's weight."""
+
+    toxic: np.ndarray
+    each: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    swaps: np.ndarray
+    moved: np.ndarray
+    signs: np.ndarray
+    often: np.ndarray
+    ridge: float
+
+
+def objective(problem: Problem, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+    """The loss and its gradient (the bias last): weighted log loss, ridge, and the squared change of score of each swap."""
+    q = problem
+    score = bias + np.bincount(q.rows, w[q.places], minlength=len(q.toxic))
+    error = q.each * (1 / (1 + np.exp(-score)) - q.toxic)
+    change = np.bincount(q.swaps, q.signs * w[q.moved], minlength=len(q.often))
+    loss = q.each @ (np.logaddexp(0, score) - q.toxic * score) + q.ridge / 2 * (w @ w) + q.often @ change**2
+    pull = np.bincount(q.moved, 2 * q.signs * (q.often * change)[q.swaps], minlength=len(w))
+    return float(loss), np.append(np.bincount(q.places, error[q.rows], minlength=len(w)) + q.ridge * w + pull, error.sum())
+
+
 def _joined(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
@@ -119,13 +171,13 @@ def fit(
     ridge: float = 0.02,
     steps: int = 600,
 ) -> Model:
-    """Fits on (text, toxic), a bounded number of rows.
+    """Fits on (text, toxic), a bounded number of rows; each identity term is one word.
 
-    Places are chosen by how unevenly toxic and other texts hold them (twice the log likelihood ratio); the terms' own places always take part. The
-    loss is the mean log loss, with both labels weighing alike once half of the imbalance is taken out, plus for each labelled
-    sentence that names a group the squared change of its score when the name is swapped for each other name or for
-    a neutral word. The model being linear in words, a swap changes a sentence's score by the difference of the names'
-    own weights, whatever the sentence; names that no sentence holds count as named once.
+    Places are chosen by how unevenly toxic and other texts hold them (twice the log likelihood ratio); the terms' own places
+    always take part. The loss is the mean log loss, with both labels weighing alike once half of the imbalance is
+    taken out, plus the squared change of score of swapped sentences: every labelled sentence that names a group is
+    written anew with each other name, and without one. Equal changes are counted, so the driver gets each once. Each name
+    standing alone counts as a sentence too, so names that no text holds are held alike. No rows give one score for all.
     """
     support = labelled.mapInArrow(_support, "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
@@ -140,28 +192,30 @@ def fit(
     terms = term_features(identity_terms)
     chosen = np.unique(np.concatenate([np.array([r["place"] for r in best.select("place").collect()], np.int64), *terms]))
 
-    rows = labelled.mapInArrow(_rows_of(chosen, identity_terms), "toxic int, places array<int>, mentions array<int>").toArrow()
+    rows = labelled.mapInArrow(_rows_of(chosen), "toxic int, places array<int>").toArrow()
     y = rows.column("toxic").to_numpy().astype(float)
     places = rows.column("places").combine_chunks()
-    row_of = np.repeat(np.arange(len(y)), places.value_lengths().to_numpy())
-    column = np.searchsorted(chosen, places.flatten().to_numpy())
-    named = np.bincount(rows.column("mentions").combine_chunks().flatten().to_numpy(), minlength=len(terms)) + 1.0
-
-    of_term = np.zeros((len(terms) + 1, len(chosen)))  # the last: a neutral word
-    for i, f in enumerate(terms):
-        of_term[i, np.searchsorted(chosen, f)] = 1
-    w, bias = np.zeros(len(chosen)), math.log(sizes[1] / sizes[0])
     each = np.where(y == 1, math.sqrt(sizes[0] / sizes[1]), 1.0)
-    each /= each.sum()
-    pulled = np.append(named, 0.0)[:, None] + np.append(named, 0.0)[None, :]  # how often a swap of the two is made
-    pulled *= penalty / named.sum() / len(pulled)
+    found = labelled.select("text").mapInArrow(_swaps(chosen, identity_terms), "lost array<int>, gained array<int>")
+    changes = [(r["lost"], r["gained"], r["n"]) for r in found.groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n")).collect()]
+    changes += [(lost, gained, 1) for term in identity_terms for lost, gained in swapped_sentences(*_joined([term]), identity_terms, _wanted(chosen))]
+    often = np.array([n for _, _, n in changes], float)
+    moved = [len(lost) + len(gained) for lost, gained, _ in changes]
+    problem = Problem(
+        toxic=y,
+        each=each / each.sum(),
+        rows=np.repeat(np.arange(len(y)), places.value_lengths().to_numpy()),
+        places=np.searchsorted(chosen, places.flatten().to_numpy()),
+        swaps=np.repeat(np.arange(len(changes)), moved),
+        moved=np.searchsorted(chosen, np.array([f for lost, gained, _ in changes for f in (*lost, *gained)], np.int64)),
+        signs=np.array([s for lost, gained, _ in changes for s in (*[-1.0] * len(lost), *[1.0] * len(gained))]),
+        often=often * (penalty / max(often.sum(), 1)),
+        ridge=ridge / len(y),
+    )
+    w, bias = np.zeros(len(chosen)), math.log(sizes[1] / sizes[0])
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(bias + np.bincount(row_of, w[column], minlength=len(y)))))
-        error = each * (p - y)
-        own = of_term @ w
-        swaps = 2 * (pulled.sum(axis=1) * own - pulled @ own)
-        gradient = np.append(np.bincount(column, error[row_of], minlength=len(w)) + ridge / len(y) * w + of_term.T @ swaps, error.sum())
+        _, gradient = objective(problem, w, bias)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = 0.1 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-12)
         w, bias = w - move[:-1], bias - move[-1]
@@ -192,13 +246,14 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -> Model:
     """Fits on the labelled documents that aren't held out: ``max_rows`` of them at most, drawn by a hash of their ids.
 
-    Labels of one id count once (the larger one); null labels and ids take no part. The drawn labels, of bounded number,
-    go to where the texts are.
+    Labels of one id count once (the larger one); null labels and ids take no part. Documents of one id are learned from
+    each. The drawn labels, of bounded number, go to where the texts are. Empty tables give one score for all.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).cast("int").alias("toxic"))
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), **options)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return fit(cut_lineage(rows), **options)  # read several times
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

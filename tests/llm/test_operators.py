@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -208,6 +209,53 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.filter("false"), model).count() == 0
 
 
+def test_swapped_sentences_and_gradient():
+    draw = random.Random(6)
+    terms = ["women", "men", "jews", "muslims"]
+    words = [*terms, "menace", "womenfolk", "are", "here", "Idiot", "MEN"]
+    texts = [" ".join(draw.choice(words) + draw.choice(["", "", ".", "!", "\n"]) for _ in range(draw.randint(0, 9))) for _ in range(50)]
+    wanted = np.ones(1 << toxicity.WIDTH_BITS, bool)
+
+    def places(text):
+        raw = np.frombuffer(text.lower().encode(), np.uint8)
+        return set(toxicity._presence(raw, np.array([0, len(raw)]))[1].tolist())
+
+    want = []
+    for text in texts:
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            for term in set(terms) & set(sentence.split()):
+                for other in {*terms, ""} - {term}:
+                    new = " ".join(other if x == term else x for x in sentence.split())
+                    want.append((sorted(places(sentence) - places(new)), sorted(places(new) - places(sentence))))
+    got = list(toxicity.swapped_sentences(*toxicity._joined(texts), terms, wanted))
+    assert sorted(got) == sorted(want) and len(got) > 200
+
+    n = 30
+    toxic, each = [draw.randint(0, 1) for _ in texts], [draw.random() for _ in texts]
+    held = [sorted(p % n for p in places(t)) for t in texts]
+    moved = [([p % n for p in a], [p % n for p in b], draw.random()) for a, b in got]
+    w, bias = np.array([draw.gauss(0, 1) for _ in range(n)]), 0.3
+
+    def loss(w, bias):
+        total = 0.05 / 2 * sum(x * x for x in w)
+        for y, e, h in zip(toxic, each, held):
+            p = 1 / (1 + math.exp(-bias - sum(w[k] for k in h)))
+            total -= e * math.log(p if y else 1 - p)
+        return total + sum(o * (sum(w[k] for k in b) - sum(w[k] for k in a)) ** 2 for a, b, o in moved)
+
+    problem = toxicity.Problem(
+        np.array(toxic, float), np.array(each), np.repeat(np.arange(50), [len(h) for h in held]), np.array([k for h in held for k in h], int),
+        np.repeat(np.arange(len(moved)), [len(a) + len(b) for a, b, _ in moved]), np.array([k for a, b, _ in moved for k in (*a, *b)], int),
+        np.array([s for a, b, _ in moved for s in (*[-1.0] * len(a), *[1.0] * len(b))]), np.array([o for _, _, o in moved]), 0.05,
+    )
+    found, gradient = toxicity.objective(problem, w, bias)
+    assert found == pytest.approx(loss(w, bias), rel=1e-10)
+    for k in range(n + 1):
+        step = np.eye(n + 1)[k] * 1e-5
+        slope = (loss(w + step[:-1], bias + step[-1]) - loss(w - step[:-1], bias - step[-1])) / 2e-5
+        assert gradient[k] == pytest.approx(slope, rel=1e-5, abs=1e-6)
+
+
 # -- near duplicates
 
 
