@@ -13,6 +13,9 @@ from docsieve.llm.common import running_before, table, text_key, text_of, word_c
 #: between. The integrals are the contract's weights 3, 1 and 2: one source fades, one grows, one stays.
 SCHEDULES = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0.0, 2.0), (1.0, 2.0)))
 
+#: Bytes of targets that are broadcast, and the parts that a source's rows are dealt to beyond that.
+BROADCAST_BYTES, PARTS = 16 << 20, 64
+
 
 def _segments(schedule: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
     """(start, weight at the start, slope, integral before it) of each piece."""
@@ -67,7 +70,23 @@ def source_targets(sources: DataFrame, schedules=SCHEDULES, share: float = 1.5,
     return filled.select("source", "source_size", "schedule", F.least(F.col("_cap"), F.col("_weight") * at).alias("target"))
 
 
-def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, whole: bool = False) -> DataFrame:
+def _with_targets(rows: DataFrame, targets: DataFrame, small: int) -> DataFrame:
+    """The rows with their source's target, none of them gathered by source.
+
+    Targets are one row a source: up to ``small`` bytes they are broadcast, beyond that each goes to all parts of its source.
+    """
+    size = F.coalesce(F.octet_length("_source"), F.lit(0)) + 64
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if (targets.agg(F.sum(size)).first()[0] or 0) <= small:
+        return rows.join(F.broadcast(targets), same)
+    dealt = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_to"))
+    parts = rows.withColumn("_part", F.pmod(F.col("_draw"), F.lit(PARTS)).cast("int"))
+    return parts.join(dealt, same & (F.col("_part") == F.col("_to"))).drop("_part", "_to")
+
+
+def plan_mix(
+    docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, whole: bool = False, small: int = BROADCAST_BYTES
+) -> DataFrame:
     """doc_id, text_key, source, size, source_size, target, taken, times of every row.
 
     ``size`` is the number of words. A source's rows lie end to end in an order drawn by hash, again and again: its
@@ -88,7 +107,7 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: flo
     targets = source_targets(sources.select("source", "source_size"), schedules, share, most)
     starts = sources.select(F.col("source").alias("_s"), "_begin")
     targets = targets.join(starts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_source")
-    placed = laid.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_start", F.col("_before") - F.col("_begin"))
+    placed = _with_targets(laid, targets, small).withColumn("_start", F.col("_before") - F.col("_begin"))
 
     size, goal = F.col("size"), F.floor("target")
     copies = F.sequence(F.lit(0), F.lit(int(most + 0.5) - 1))

@@ -421,6 +421,7 @@ def test_mix(odd, docs, empty):
         assert len(rows) == table.count()
         assert all(abs(taken[s] - want[s]) <= 1 for s in want)
         assert counted(map(str, mixing.plan_mix(table).collect())) == counted(map(str, rows))
+        assert counted(map(str, mixing.plan_mix(table, small=0).collect())) == counted(map(str, rows))
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
