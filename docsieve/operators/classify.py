@@ -93,33 +93,38 @@ def _terms_in(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     return heads.select("doc_id", F.explode(prefixes).alias("term")).distinct().join(terms, "term")
 
 
-def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
+def score_categories_by_join(texts: DataFrame, lexicon: DataFrame, column: str = "text", zeros: bool = True) -> DataFrame:
     """The same scores for a lexicon of any size; ``texts`` needs a ``doc_id``.
 
-    Only the keywords that a document has are scored.
+    Only the keywords that a document has are met and scored. Without ``zeros`` so are its ``scores``: the categories found,
+    in lexicon order, none for a null or foreign text. With it every row gets every category, as large as that makes it.
     """
     terms = lexicon.select("category", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
-    found = _terms_in(texts, terms, column)
-    matched = (
-        found.groupBy("doc_id", "category")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "term", "weight"))).alias("terms"))
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("category", "terms"))).alias("_found"))
+    firsts = terms.groupBy("category").agg(F.min("ord").alias("first"))
+    order = firsts.select("category", (F.row_number().over(Window.orderBy("first", "category")) - 1).alias("place"))
+    found = _terms_in(texts, terms, column).groupBy("doc_id", "category").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "term", "weight"))).alias("terms")
     )
-    order = terms.groupBy("category").agg(F.min("ord").alias("ord"))
-    categories = order.agg(F.array_sort(F.collect_list(F.struct("ord", "category")))).scalar()
-    joined = texts.join(matched, "doc_id", "left").withColumns({"_t": _padded(column), "_categories": categories})
-    none = F.array().cast("array<struct<ord:int,term:string,weight:double>>")
-    own = F.transform(
-        "_categories",
-        lambda c, i: F.struct(
-            c["category"].alias("category"),
-            i.alias("ord"),
-            F.coalesce(F.try_element_at("_found", c["category"]), none).alias("terms"),
-        ),
+    own = found.join(order, "category").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("place").alias("ord"), "category", "terms"))).alias("_own")
     )
-    scored = joined.withColumn("_own", own).withColumn("scores", category_score_array(F.col("_t"), F.col("_own")))
-    return with_probabilities(scored.drop("_t", "_own", "_found", "_categories"))
+    joined = texts.join(own, "doc_id", "left").withColumn("_t", _padded(column))
+    held = joined.withColumn("scores", F.coalesce(category_score_array(F.col("_t"), F.col("_own")), F.array().cast(_SCORES)))
+    scored = with_probabilities(held.drop("_t", "_own"))
+    return _with_zeros(scored, order) if zeros else scored
+
+
+_SCORES = "array<struct<category:string,ord:int,score:double>>"
+
+
+def _with_zeros(scored: DataFrame, order: DataFrame) -> DataFrame:
+    """``scores`` with a zero for every category of ``order`` that a document lacks."""
+    zero = F.struct("category", F.col("place").alias("ord"), F.lit(0.0).alias("score"), F.lit(0.0).alias("prob"))
+    every = order.agg(F.array_sort(F.collect_list(F.struct("place", zero.alias("zero")))).alias("a")).select(F.transform("a", lambda x: x["zero"])).scalar()
+    held = F.map_from_entries(F.transform("scores", lambda c: F.struct(c["ord"], c)))
+    return scored.withColumns({"_every": every, "_held": held}).withColumn(
+        "scores", F.transform("_every", lambda c: F.coalesce(F.try_element_at("_held", c["ord"]), c))
+    ).drop("_every", "_held")
 
 
 def category_probabilities(scored: DataFrame, digits: int = 4) -> DataFrame:
@@ -131,17 +136,30 @@ def category_probabilities(scored: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def best_category(scores: Column | str) -> Column:
-    """The struct with the highest probability; on a tie the first in lexicon order."""
+    """The struct with the highest probability; on a tie the first in lexicon order; null if there is none."""
     return F.aggregate(
         _col(scores),
-        _col(scores)[0],
+        F.try_element_at(_col(scores), F.lit(1)),
         lambda acc, c: F.when(c["prob"] > acc["prob"], c).otherwise(acc),
     )
 
 
-def predict_category(scored: DataFrame) -> DataFrame:
+def predict_category(scored: DataFrame, otherwise: str | None = None) -> DataFrame:
+    """``otherwise`` is predicted, with confidence 0, where a text has no score at all."""
     best = best_category("scores")
-    return scored.withColumns({"predicted_category": best["category"], "confidence": best["prob"]})
+    none = F.lit(otherwise).cast("string")
+    return scored.withColumns({
+        "predicted_category": F.coalesce(best["category"], none),
+        "confidence": F.coalesce(best["prob"], F.when(none.isNotNull(), F.lit(0.0))),
+    })
+
+
+def predict(texts: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """The prediction for a lexicon of any size; a large one gives a row only the categories that its text has."""
+    if fits(lexicon):
+        return predict_category(score_categories(texts, lexicon, column))
+    first = lexicon.agg(F.min(F.struct("ord", "category"))["category"]).first()[0]
+    return predict_category(score_categories_by_join(texts, lexicon, column, zeros=False), first)
 
 
 def _filled(ranked: DataFrame, fallback: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -248,7 +266,7 @@ def batch_predict(
             F.array().cast("array<string>").alias("influential"),
             F.lit(None).cast("string").alias("error"),
         )
-    scored = influential_terms(predict_category(score_categories(texts, lexicon, column)), lexicon, fallback or {}, column)
+    scored = influential_terms(predict(texts, lexicon, column), lexicon, fallback or {}, column)
     bad = F.col(column).isNull()
     return scored.select(
         "doc_id",

@@ -1,11 +1,16 @@
-"""Token to base form by a lemma table."""
+"""Token to base form by a lemma table; term lists of any length found in texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.matching import find_terms
+
 MAX_LITERAL_LEMMAS = 256  # a lookup in a row walks the whole map
+MAX_LITERAL_TERMS = 64  # every term is searched for in every text
+
+_WORD, _GAP = r"(?U)\w+", r"(?U)\W+"
 
 
 def normalise_terms(
@@ -29,3 +34,49 @@ def normalise_terms(
     joined = tokenised.join(per_doc, key, "left")
     found = F.transform(column, lambda t: F.coalesce(F.try_element_at("_map", t), t))
     return joined.withColumn(column, F.when(F.col("_map").isNull(), F.col(column)).otherwise(found)).drop("_map")
+
+
+def term_index(terms: DataFrame) -> DataFrame:
+    """``anchor, term, ord, lowered, pattern``: each term of ``terms`` (``term, ord``) under its longest word.
+
+    A term found as whole words has each of its words as a whole word of the text. One without any stands between two word
+    characters, so it is all that lies between them and its own anchor.
+    """
+    lowered = F.lower("term")
+    longest = F.array_max(F.transform(F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0)), lambda w: F.struct(F.length(w), w.alias("w"))))
+    quoted = F.regexp_replace(lowered, r"(?U)([^\w\s])", r"\\$1")
+    return terms.filter("term <> ''").select(
+        F.coalesce(longest["w"], lowered).alias("anchor"), *[c for c in ("term", "ord", "no") if c in terms.columns], lowered.alias("lowered"),
+        F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")).alias("pattern"),
+    )
+
+
+def with_terms(
+    texts: DataFrame, terms: DataFrame, column: str = "text", key: str = "doc_id", name: str = "terms", limit: int = MAX_LITERAL_TERMS
+) -> DataFrame:
+    """``texts`` with the terms (``term, ord``) that each holds as whole words, by ``ord``, then term.
+
+    A short list is searched for in the row. A longer one meets only the texts that hold a term's longest word: an index of
+    words joined on equality, checked by the same rule in the row. Terms in the list twice are found twice; empty and null
+    ones never. A null text has no terms; keys may be null or repeated, each row answers for its own text.
+    """
+    listed = terms.filter("term <> ''").groupBy("term", "ord").agg(F.count(F.lit(1)).alias("n"))
+    listed = listed.select("term", "ord", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("no"))
+    rows = listed.limit(limit + 1).collect()
+    none = F.array().cast("array<string>")
+    if len(rows) <= limit:
+        ordered = [r.term for r in sorted(rows, key=lambda r: (r.ord, r.term))]
+        return texts.withColumn(name, F.when(F.col(column).isNotNull(), find_terms(column, ordered) if ordered else none).otherwise(none))
+    lowered = F.lower(column)
+
+    def parts(pattern: str) -> Column:
+        return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
+
+    words = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.concat(parts(_WORD), parts(_GAP)))).alias("anchor"))
+    met = words.join(term_index(listed), "anchor").groupBy("_key").agg(
+        F.array_sort(F.collect_set(F.struct("ord", "term", "no", "lowered", "pattern"))).alias("_met")
+    )
+    joined = texts.join(met, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_lowered", lowered)
+    whole = lambda x: F.contains("_lowered", x["lowered"]) & F.regexp_like("_lowered", x["pattern"])
+    found = F.transform(F.filter("_met", whole), lambda x: x["term"])
+    return joined.withColumn(name, F.coalesce(found, none)).drop("_key", "_met", "_lowered")

@@ -27,6 +27,11 @@ def e1_score_categories_by_join(spark, d):
     return _long(K.score_categories_by_join(texts, X.language_lexicon(spark))).drop("prob")
 
 
+def e1_score_categories_found(spark, d):
+    """Only the categories that a document has, of a lexicon too large for an expression."""
+    return _long(K.score_categories_by_join(X.documents(spark, d), _large_lexicon(spark), zeros=False)).drop("prob")
+
+
 SCORES = """SELECT doc_id, category, min(ord) AS ord, sum(CASE WHEN c > 0 THEN
         greatest(0.5, 1 - p / (2 * length(t))) * least(1.0, 0.3 + 0.15 * c) * c ELSE 0 END)::DOUBLE AS score FROM (
     SELECT doc_id, category, ord, t, CAST((length(t) - length(replace(t, concat(' ', term), ''))) // (length(term) + 1) AS DOUBLE) AS c,
@@ -138,6 +143,7 @@ def e6_batch_predict_disabled(spark, d):
 QUERIES = {
     "e1_score_categories": e1_score_categories,
     "e1_score_categories_by_join": e1_score_categories_by_join,
+    "e1_score_categories_found": e1_score_categories_found,
     "e2_category_probabilities": e2_category_probabilities,
     "e3_predict_category": e3_predict_category,
     "e4_influential_terms": e4_influential_terms,
@@ -152,6 +158,7 @@ ORACLE = {
     for name, sql in {
         "e1_score_categories": E1,
         "e1_score_categories_by_join": E1,
+        "e1_score_categories_found": f"{E1} WHERE score > 0",
         "e2_category_probabilities": E2,
         "e3_predict_category": E3,
         "e4_influential_terms": E4,

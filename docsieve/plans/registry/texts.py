@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docsieve import fixtures as X
 from docsieve.functions import matching as R
 from docsieve.functions import text as T
-from docsieve.operators.terms import normalise_terms
+from docsieve.operators.terms import normalise_terms, with_terms
 from docsieve.session import small_table
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -118,6 +118,25 @@ _SKILL_CASES = ", ".join(
 B8_SQL = X.oracle(f"SELECT candidate_id, concat_ws(',', {_SKILL_CASES}) AS skills FROM resumes")
 
 
+def b8_find_terms_long_list(spark, d):
+    """The first two words of every line are the terms: thousands, so that they are joined."""
+    texts = X.documents(spark, d)
+    heads = F.regexp_extract_all("text", F.lit(r"(?:^|\n)([^ \n]+ [^ \n]+)"), F.lit(1))
+    terms = texts.select(F.explode(heads).alias("term"), F.lit(0).alias("ord")).distinct()
+    return with_terms(texts, terms).select("doc_id", F.array_join("terms", "|").alias("terms"))
+
+
+# Lower-cased texts have their capitals free to stand for the letters that the other engine's boundaries don't know.
+_BOUNDED = "translate(lower({c}), 'éóèñçüêäößí', 'ABCDEFGHIJK')"
+B8_LONG_SQL = rf"""WITH terms AS (SELECT DISTINCT term,
+        '\b' || regexp_replace({_BOUNDED.format(c='term')}, '([^\w\s])', '\\\1', 'g') || '\b' AS pattern
+    FROM (SELECT unnest(regexp_extract_all(text, '(?:^|\n)([^ \n]+ [^ \n]+)', 1)) AS term FROM documents)),
+    texts AS (SELECT doc_id, lower(text) AS low, {_BOUNDED.format(c='text')} AS text FROM documents),
+    found AS (SELECT doc_id, term FROM texts JOIN terms ON contains(low, lower(term)) AND regexp_matches(text, pattern))
+    SELECT d.doc_id, coalesce(string_agg(term, '|' ORDER BY term), '') AS terms
+    FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def b9_find_with_context(spark, d):
     found = R.find_with_context(X.resumes(spark, d), "text", R.EMPLOYMENT_RANGE)
     return found.select("candidate_id", *[F.col(c).cast("bigint").alias(c) for c in ("match_no", "offset")], "match", "context")
@@ -246,6 +265,7 @@ QUERIES = {
     "b6_basic_features": b6_basic_features,
     "b7_vocabulary_stats": b7_vocabulary_stats,
     "b8_find_terms": b8_find_terms,
+    "b8_find_terms_long_list": b8_find_terms_long_list,
     "b9_find_with_context": b9_find_with_context,
     "b10_education_contexts": b10_education_contexts,
     "b11_section_after": b11_section_after,
@@ -263,6 +283,7 @@ ORACLE = {
     "b6_basic_features": B6_SQL,
     "b7_vocabulary_stats": B7_SQL,
     "b8_find_terms": B8_SQL,
+    "b8_find_terms_long_list": B8_LONG_SQL,
     "b9_find_with_context": B9_SQL,
     "b10_education_contexts": B10_SQL,
     "b11_section_after": B11_SQL,

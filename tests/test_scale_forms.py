@@ -11,6 +11,7 @@ from docsieve.operators import classify as K
 from docsieve.operators import manipulation as M
 from docsieve.operators import ordered as O
 from docsieve.operators import spans as S
+from docsieve.operators.terms import with_terms
 from docsieve.sources import files as A
 
 
@@ -102,6 +103,36 @@ def test_scoring_by_join_equals_scoring_in_the_row(spark):
     lexicon = spark.createDataFrame(rows, X.LEXICON_SCHEMA)
     found = [sorted((r.doc_id, r.scores) for r in f(texts, lexicon).collect()) for f in (K.score_categories, K.score_categories_by_join)]
     assert found[0] == found[1]
+    held = K.score_categories_by_join(texts, lexicon, zeros=False).collect()
+    assert [sorted((r.doc_id, [c for c in r.scores if c.score > 0]) for r in K.score_categories(texts, lexicon).collect())] == [
+        sorted((r.doc_id, r.scores) for r in held)
+    ]
+
+
+def test_many_categories_leave_rows_small(spark):
+    """5,000 categories: a row holds those of its text, and the prediction is that of the plain form."""
+    rows = [("k", f"C{i:04}", f"w{i}", 1.0, i) for i in range(5000)]
+    lexicon = spark.createDataFrame(rows, X.LEXICON_SCHEMA)
+    texts = spark.createDataFrame([(1, "w7 w4000 w4000"), (2, "none"), (3, None), (4, "w9 W8")], "doc_id long, text string")
+    held = {r.doc_id: [c.category for c in r.scores] for r in K.score_categories_by_join(texts, lexicon, zeros=False).collect()}
+    assert held == {1: ["C0004", "C0007", "C0040", "C0400", "C4000"], 2: [], 3: [], 4: ["C0008", "C0009"]}
+    few = lexicon.filter("ord in (0, 4, 7, 8, 9, 40, 400, 4000)")
+    plain = {r.doc_id: (r.predicted_category, r.confidence) for r in K.predict(texts, few).collect()}
+    found = {r.doc_id: (r.predicted_category, r.confidence) for r in K.predict(texts, lexicon).collect()}
+    assert found == plain and found[2] == ("C0000", 0.0)
+
+
+@pytest.mark.parametrize("limit", [64, 0])
+def test_terms_of_a_list_in_the_row_and_joined(spark, limit):
+    texts = [(1, "Project management, C++x and .NET"), (1, "sql"), (None, "SQL c++ a.net"), (2, None), (3, ""), (4, "x--y élan vital_"), (5, "projects management")]
+    terms = [("sql", 1), ("project management", 0), ("c++", 2), (".net", 2), ("--", 3), ("élan", 3), ("vital", 3), ("sql", 1), ("", 0), (None, 0)]
+    listed = spark.createDataFrame(terms, "term string, ord int")
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.text, r.terms) for r in with_terms(rows, listed, limit=limit).collect()), key=str)
+    want = [(1, ["project management", "c++"]), (1, ["sql", "sql"]), (None, ["sql", "sql", ".net"]), (2, []), (3, []), (4, ["--", "élan"]), (5, [])]
+    assert found == sorted(((d, t, w) for (d, t), (_, w) in zip(texts, want)), key=str)
+    assert [r.terms for r in with_terms(rows, listed.limit(0), limit=limit).collect()] == [[]] * 7
+    assert with_terms(rows.limit(0), listed, limit=limit).count() == 0
 
 
 def test_results_do_not_depend_on_the_partitioning(spark, sf_dir):
