@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.dates import months_between_dates, with_parsed_range
 from docsieve.functions.matching import EMPLOYMENT_RANGE, company, find_with_context, job_title
-from docsieve.operators.ordered import next_value, position
+from docsieve.operators.ordered import next_value, position, ranged
 
 FEATURES = (
     "average_tenure",
@@ -47,9 +47,13 @@ def extract_employment(texts: DataFrame, as_of: datetime.date | str, column: str
 
 
 def order_history(records: DataFrame, key: str = "doc_id", record: str = "rec_no") -> DataFrame:
-    """``position``: newest start first, unknown starts last."""
-    start = F.coalesce("start_date", F.lit(EARLIEST))
-    return position(records, [key], [F.desc(start), F.col(record)], -F.year(start), "position")
+    """``position``: newest start first, unknown starts last.
+
+    No task holds a key: ranges of rows are numbered and added up. The null key is a key like others.
+    """
+    order = [F.desc(F.coalesce("start_date", F.lit(EARLIEST))), F.col(record)]
+    placed = ranged(records.withColumn("_key", F.struct(key)), [F.col("_key"), *order])
+    return position(placed, ["_key"], order, F.col("_range"), "position").drop("_key", "_range")
 
 
 def with_gaps(records: DataFrame, key: str = "doc_id", record: str = "rec_no") -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.session import cut_lineage
+
 _BUCKET = "_bucket"
 
 
@@ -28,6 +30,15 @@ def _place(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     return placed.filter(F.monotonically_increasing_id() >= F.least(F.xxhash64(*placed.columns), F.lit(0)))
 
 
+def ranged(df: DataFrame, order: Sequence[Column], name: str = "_range") -> DataFrame:
+    """``df`` with a bucket along ``order`` (keys first): ranges of about equally many rows, whatever the values are.
+
+    For orders without a natural bucket that bounds its rows. The ranges come from a sample, so they are written once:
+    every reader sees the same ones, also after the loss of an executor.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("bigint")))
+
+
 def _local(keys: Sequence[str], order: Sequence[Column]) -> Window:
     return Window.partitionBy(*keys, _BUCKET).orderBy(*order)
 

@@ -10,8 +10,6 @@ from docsieve.functions.matching import find_terms
 MAX_LITERAL_LEMMAS = 256  # a lookup in a row walks the whole map
 MAX_LITERAL_TERMS = 64  # every term is searched for in every text
 
-_WORD, _GAP = r"(?U)\w+", r"(?U)\W+"
-
 
 def normalise_terms(
     tokenised: DataFrame, lemmas: DataFrame, column: str = "tokens", key: str = "doc_id", limit: int = MAX_LITERAL_LEMMAS
@@ -37,18 +35,28 @@ def normalise_terms(
 
 
 def term_index(terms: DataFrame) -> DataFrame:
-    """``anchor, term, ord, lowered, pattern``: each term of ``terms`` (``term, ord``) under its longest word.
+    """``terms`` (``term, ord`` and more) with ``lowered``, ``pattern`` and ``anchor``, a part that stands in any text with the term.
 
-    A term found as whole words has each of its words as a whole word of the text. One without any stands between two word
-    characters, so it is all that lies between them and its own anchor.
+    Words found whole have what is between them in common with the text too. So the anchor is the first two words and the
+    gap between them, or the only word. A term without any stands between two word characters: it is the gap itself.
     """
     lowered = F.lower("term")
-    longest = F.array_max(F.transform(F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0)), lambda w: F.struct(F.length(w), w.alias("w"))))
+    first = [F.nullif(F.regexp_extract(lowered, p, 0), F.lit("")) for p in (r"(?U)\w+\W+\w+", r"(?U)\w+")]
     quoted = F.regexp_replace(lowered, r"(?U)([^\w\s])", r"\\$1")
-    return terms.filter("term <> ''").select(
-        F.coalesce(longest["w"], lowered).alias("anchor"), *[c for c in ("term", "ord", "no") if c in terms.columns], lowered.alias("lowered"),
-        F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")).alias("pattern"),
-    )
+    return terms.filter("term <> ''").withColumns({
+        "anchor": F.coalesce(*first, lowered),
+        "lowered": lowered,
+        "pattern": F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")),
+    })
+
+
+def _anchors(texts: DataFrame, lowered: Column, key: str) -> DataFrame:
+    """``_key, anchor``: the distinct words, gaps and neighbouring words of each text."""
+    parts = texts.select(F.col(key).alias("_key"), F.regexp_extract_all(lowered, F.lit(r"(?U)\w+|\W+"), F.lit(0)).alias("parts"))
+    begin = F.when(F.try_element_at("parts", F.lit(1)).rlike(r"(?U)^\w"), 1).otherwise(2)
+    at = F.when(F.size("parts") - 2 >= begin, F.sequence(begin, F.size("parts") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(at, lambda i: F.concat(F.col("parts")[i - 1], F.col("parts")[i], F.col("parts")[i + 1]))
+    return parts.select("_key", F.explode(F.array_distinct(F.concat("parts", pairs))).alias("anchor"))
 
 
 def with_terms(
@@ -56,8 +64,8 @@ def with_terms(
 ) -> DataFrame:
     """``texts`` with the terms (``term, ord``) that each holds as whole words, by ``ord``, then term.
 
-    A short list is searched for in the row. A longer one meets only the texts that hold a term's longest word: an index of
-    words joined on equality, checked by the same rule in the row. Terms in the list twice are found twice; empty and null
+    A short list is searched for in the row. A longer one meets only the texts that hold a term's first two words: an index
+    joined on equality, checked by the same rule in the row. Terms in the list twice are found twice; empty and null
     ones never. A null text has no terms; keys may be null or repeated, each row answers for its own text.
     """
     listed = terms.filter("term <> ''").groupBy("term", "ord").agg(F.count(F.lit(1)).alias("n"))
@@ -68,12 +76,7 @@ def with_terms(
         ordered = [r.term for r in sorted(rows, key=lambda r: (r.ord, r.term))]
         return texts.withColumn(name, F.when(F.col(column).isNotNull(), find_terms(column, ordered) if ordered else none).otherwise(none))
     lowered = F.lower(column)
-
-    def parts(pattern: str) -> Column:
-        return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
-
-    words = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.concat(parts(_WORD), parts(_GAP)))).alias("anchor"))
-    met = words.join(term_index(listed), "anchor").groupBy("_key").agg(
+    met = _anchors(texts, lowered, key).join(term_index(listed), "anchor").groupBy("_key").agg(
         F.array_sort(F.collect_set(F.struct("ord", "term", "no", "lowered", "pattern"))).alias("_met")
     )
     joined = texts.join(met, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_lowered", lowered)

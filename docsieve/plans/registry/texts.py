@@ -131,8 +131,10 @@ _BOUNDED = "translate(lower({c}), 'éóèñçüêäößí', 'ABCDEFGHIJK')"
 B8_LONG_SQL = rf"""WITH terms AS (SELECT DISTINCT term,
         '\b' || regexp_replace({_BOUNDED.format(c='term')}, '([^\w\s])', '\\\1', 'g') || '\b' AS pattern
     FROM (SELECT unnest(regexp_extract_all(text, '(?:^|\n)([^ \n]+ [^ \n]+)', 1)) AS term FROM documents)),
-    texts AS (SELECT doc_id, lower(text) AS low, {_BOUNDED.format(c='text')} AS text FROM documents),
-    found AS (SELECT doc_id, term FROM texts JOIN terms ON contains(low, lower(term)) AND regexp_matches(text, pattern))
+    texts AS (SELECT doc_id, {_BOUNDED.format(c='text')} AS text FROM documents),
+    words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\w+')) AS word FROM texts),
+    found AS (SELECT doc_id, term FROM words JOIN terms ON word = regexp_extract({_BOUNDED.format(c='term')}, '\w+')
+        JOIN texts USING (doc_id) WHERE contains(text, {_BOUNDED.format(c='term')}) AND regexp_matches(text, pattern))
     SELECT d.doc_id, coalesce(string_agg(term, '|' ORDER BY term), '') AS terms
     FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docsieve import fixtures as X
 from docsieve.operators import classify as K
+from docsieve.operators import employment as W
+from docsieve.operators import evaluation as V
 from docsieve.operators import manipulation as M
 from docsieve.operators import ordered as O
 from docsieve.operators import spans as S
@@ -38,6 +40,37 @@ def test_buckets_equal_plain_windows(numbers):
     assert sorted(found.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small partitions stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_bound_the_rows_of_a_bucket(spark, many_ranges):
+    """Starts unknown throughout, one key with most rows, a null key."""
+    rng = random.Random(5)
+    rows = [(None if i % 9 == 0 else 1 if i % 5 else i, i, None if i % 3 else f"20{rng.randrange(10, 20)}-01-0{rng.randrange(1, 9)}") for i in range(4000)]
+    records = spark.createDataFrame(rows, "doc_id long, rec_no long, s string").select("doc_id", "rec_no", F.to_date("s").alias("start_date")).repartition(7)
+    found = W.order_history(records)
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce("start_date", F.lit(W.EARLIEST).cast("date"))), "rec_no")
+    want = records.withColumn("position", F.row_number().over(order).cast("long"))
+    assert sorted(found.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+    ranges = [r["count"] for r in O.ranged(records, [F.col("doc_id"), F.col("rec_no")]).groupBy("_range").count().collect()]
+    assert len(ranges) > 1 and max(ranges) < 2 * len(rows) / len(ranges)
+    assert W.order_history(records.limit(0)).count() == 0
+
+
+def test_curve_points_of_scores_anywhere(spark, many_ranges):
+    rng = random.Random(6)
+    rows = [(rng.choice([-1e9, -3.5, 0.0, 0.5, 1.0, 7.0, float("inf")]) if i % 2 else rng.gauss(50, 9), int(rng.random() < 0.4)) for i in range(2000)]
+    points = V.curve_points(spark.createDataFrame(rows, "score double, label int").repartition(6)).collect()
+    assert len(points) == len({s for s, _ in rows})
+    for r in points:
+        assert r.tp == sum(l for s, l in rows if s >= r.score) and r.fp == sum(1 - l for s, l in rows if s >= r.score)
+
+
 @pytest.fixture(scope="module")
 def long_document(spark):
     rng = random.Random(2)
