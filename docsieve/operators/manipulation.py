@@ -332,8 +332,8 @@ def entity_mismatches(entities: DataFrame, threshold: float = 0.8, labels: Seque
     """``doc_id, label, text, n``: hidden entities without a visible one whose token set is ``threshold`` similar.
 
     Token sets are reduced to distinct ones per document and label, equal sets are removed first, and the rest meet
-    only where they can reach the threshold: two sets that similar share one of their rarest
-    ``size - ceil(threshold * size) + 1`` tokens, and neither is smaller than ``threshold`` times the other.
+    only where they can reach the threshold: by one of their rarest tokens, as many as their two sizes leave open
+    (``_size_keys``), and neither is smaller than ``threshold`` times the other.
     """
     tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")))
     base = entities.filter(F.col("label").isin(list(labels))).select(
@@ -367,15 +367,40 @@ def _similar_sets(left: DataFrame, right: DataFrame, key: list[str], threshold:
     ranked = spread.join(frequency, [*key, "token"]).groupBy(*key, "s", "tokens").agg(
         F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by_rarity")
     )
-    size = F.size("tokens")
-    prefix = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    keyed = ranked.select(*key, "s", "tokens", F.explode(F.slice("by_rarity", 1, prefix)).alias("p"))
-    l = keyed.filter("s = 'l'").select(*key, F.col("p.token").alias("token"), "tokens")
-    r = keyed.filter("s = 'r'").select(*key, F.col("p.token").alias("token"), F.col("tokens").alias("other"))
+    keyed = ranked.select(*key, "s", "tokens", F.explode(_size_keys(F.col("by_rarity"), threshold)).alias("p")).select(*key, "s", "tokens", "p.*")
+    l = keyed.filter("s = 'l'").select(*key, "token", "mine", "theirs", "tokens")
+    r = keyed.filter("s = 'r'").select(*key, "token", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), F.col("tokens").alias("other"))
     shared = F.size(F.array_intersect("tokens", "other"))
     jaccard = shared / (F.size("tokens") + F.size("other") - shared)
     sizes = (F.size("other") >= F.size("tokens") * threshold - 1e-9) & (F.size("tokens") >= F.size("other") * threshold - 1e-9)
-    return l.join(r, [*key, "token"]).filter(sizes & (jaccard >= threshold - 1e-12)).select(*key, "tokens").distinct()
+    return l.join(r, [*key, "token", "mine", "theirs"]).filter(sizes & (jaccard >= threshold - 1e-12)).select(*key, "tokens").distinct()
+
+
+#: Where bands of set sizes begin: every size up to 24, then steps of a quarter.
+SIZE_BANDS = [*range(25), *(round(25 * 1.25**k) for k in range(48))]
+
+
+def _size_keys(by_rarity: Column, threshold: float) -> Column:
+    """array<struct<token, mine, theirs>>: for each band of sizes that can reach the threshold, the rarest tokens.
+
+    Sets of n and m tokens that reach it share t / (1 + t) * (n + m) of them at least, so one of the first that can be spared
+    and one more. The bound is much closer for a given size than for all: texts that differ in one rare word of five and
+    share four frequent ones don't meet at all.
+    """
+    bands = F.array(*[F.lit(n) for n in SIZE_BANDS])
+    size = F.size(by_rarity)
+
+    def band(n: Column) -> Column:
+        return F.size(F.filter(bands, lambda begin: begin <= n)) - 1
+
+    least = F.ceil(size * threshold - 1e-9).cast("int")
+
+    def keys(theirs: Column) -> Column:
+        shared = F.ceil((size + F.greatest(bands[theirs], least)) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+        rarest = F.slice(by_rarity, 1, F.greatest(size - shared + 1, F.lit(0)))
+        return F.transform(rarest, lambda p: F.struct(p["token"].alias("token"), band(size).alias("mine"), theirs.alias("theirs")))
+
+    return F.flatten(F.transform(F.sequence(band(least), band(F.floor(size / threshold + 1e-9))), keys))
 
 
 def context_verdict(

@@ -71,6 +71,36 @@ def test_curve_points_of_scores_anywhere(spark, many_ranges):
         assert r.tp == sum(l for s, l in rows if s >= r.score) and r.fp == sum(1 - l for s, l in rows if s >= r.score)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 0.67])
+def test_similar_entities_equal_all_pairs(spark, threshold):
+    """Sets of all sizes, long ones too, that differ in few tokens."""
+    rng = random.Random(7)
+    def text():
+        n = rng.choice([1, 2, 3, 4, 5, 6, 9, 10, 11, 24, 25, 26, 31, 32, 40, 60])
+        return " ".join(sorted({f"c{k}" for k in range(n)} ^ {f"c{rng.randrange(n + 2)}" for _ in range(rng.randrange(0, 1 + n // 4 + 1))} | {f"u{rng.randrange(9)}"} - {"u0", "u1", "u2", "u3"}))
+    rows = [(d, rng.choice(["hidden", "visible"]), "ORG", text()) for d in (1, 2) for _ in range(150)]
+    entities = spark.createDataFrame(rows, "doc_id long, side string, label string, text string")
+    found = {(r.doc_id, r.text) for r in M.entity_mismatches(entities, threshold, labels=["ORG"]).collect()}
+    sets = lambda d, s: {(t, frozenset(t.split())) for e, side, _, t in rows if (e, side) == (d, s)}
+    near = lambda a, b: a == b or (a and len(a & b) >= (threshold - 1e-12) * len(a | b))
+    want = {(d, t) for d in (1, 2) for t, a in sets(d, "hidden") if not any(near(a, b) for _, b in sets(d, "visible") if b)}
+    assert found == want and want
+
+
+def test_one_rare_word_among_frequent_ones_meets_nothing(spark):
+    """n texts alike but for their last word, on both sides: keys grow with n, pairs don't."""
+    n = 3000
+    texts = spark.range(2 * n).select(
+        F.lit(1).alias("doc_id"), F.lit("ORG").alias("label"), F.when(F.col("id") < n, "hidden").otherwise("visible").alias("side"),
+        F.concat(F.lit("acme corp north region "), F.col("id").cast("string")).alias("text"),
+    )
+    assert M.entity_mismatches(texts, labels=["ORG"]).count() == n
+    tokens = F.transform(F.split("text", " "), lambda w: F.struct(F.when(w.rlike("^[0-9]"), 1).otherwise(n).alias("f"), w.alias("token")))
+    keys = texts.select(F.explode(M._size_keys(F.array_sort(tokens), 0.8)).alias("k")).groupBy("k").count()
+    same_size = keys.filter("k.mine = k.theirs").agg(F.max("count")).first()[0]
+    assert same_size == 1
+
+
 @pytest.fixture(scope="module")
 def long_document(spark):
     rng = random.Random(2)
