@@ -218,3 +218,32 @@ def test_documents_lexicons_and_logs_from_files(spark, tmp_path):
     read = A.read_run_log(spark, str(tmp_path / "run.log")).orderBy("line_no").collect()
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.line for r in read] == lines and [r.line_no for r in read] == list(range(1, 5001))
+
+
+def test_term_scores_are_read_once(spark):
+    """The verdict counts and ranks the strong terms in one pass over the largest table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(1, f"t{k}", 0.0, 0.2) for k in range(8)] + [(2, "t", 0.5, 0.2)]
+    table = spark.createDataFrame(rows, "doc_id long, term string, visible_score double, hidden_score double")
+    sizes = spark.createDataFrame([(1, 9), (2, 9), (3, 2)], "doc_id long, hidden_tokens long")
+    found = M.term_frequency_verdict(table.mapInPandas(count, table.schema), sizes).orderBy("doc_id").collect()
+    assert [(r.n, r.suspicious, r.confidence) for r in found] == [(8, True, 1.0), (0, False, 0.0), (0, False, 0.0)]
+    assert seen.value == len(rows)
+
+
+def test_verdicts_are_stored_before_they_are_read_twice(spark, tmp_path):
+    from docsieve.plans.registry import hidden
+
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(1, k, k, 1.0, float(k), 0.1 if k > 2 else 0.0, "A", "F") for k in range(1, 5)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"red bolt {k}") for k in range(1, 5)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found, sides = hidden._verdicts(spark, str(tmp_path))
+    assert found.count() == 3 and sides.count() == 1
+    for table in (found, sides):
+        assert "parquet" not in table._jdf.queryExecution().optimizedPlan().toString().lower()
