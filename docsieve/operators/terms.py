@@ -34,6 +34,12 @@ def normalise_terms(
     return joined.withColumn(column, F.when(F.col("_map").isNull(), F.col(column)).otherwise(found)).drop("_map")
 
 
+def _whole_word(term: Column) -> Column:
+    """The pattern of ``matching.whole_word``."""
+    quoted = F.regexp_replace(F.lower(term), r"(?U)([^\w\s])", r"\\$1")
+    return F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))
+
+
 def term_index(terms: DataFrame) -> DataFrame:
     """``terms`` (``term, ord`` and more) with ``lowered``, ``pattern`` and ``anchor``, a part that stands in any text with the term.
 
@@ -42,21 +48,20 @@ def term_index(terms: DataFrame) -> DataFrame:
     """
     lowered = F.lower("term")
     first = [F.nullif(F.regexp_extract(lowered, p, 0), F.lit("")) for p in (r"(?U)\w+\W+\w+", r"(?U)\w+")]
-    quoted = F.regexp_replace(lowered, r"(?U)([^\w\s])", r"\\$1")
     return terms.filter("term <> ''").withColumns({
         "anchor": F.coalesce(*first, lowered),
         "lowered": lowered,
-        "pattern": F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")),
+        "pattern": _whole_word(F.col("term")),
     })
 
 
 def _anchors(texts: DataFrame, lowered: Column, key: str) -> DataFrame:
-    """``_key, anchor``: the distinct words, gaps and neighbouring words of each text."""
+    """``_key, anchor``: hashes of the distinct words, gaps and neighbouring words of each text."""
     parts = texts.select(F.col(key).alias("_key"), F.regexp_extract_all(lowered, F.lit(r"(?U)\w+|\W+"), F.lit(0)).alias("parts"))
     begin = F.when(F.try_element_at("parts", F.lit(1)).rlike(r"(?U)^\w"), 1).otherwise(2)
     at = F.when(F.size("parts") - 2 >= begin, F.sequence(begin, F.size("parts") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(at, lambda i: F.concat(F.col("parts")[i - 1], F.col("parts")[i], F.col("parts")[i + 1]))
-    return parts.select("_key", F.explode(F.array_distinct(F.concat("parts", pairs))).alias("anchor"))
+    return parts.select("_key", F.explode(F.array_distinct(F.transform(F.concat("parts", pairs), lambda p: F.hash(p)))).alias("anchor"))
 
 
 def with_terms(
@@ -65,7 +70,7 @@ def with_terms(
     """``texts`` with the terms (``term, ord``) that each holds as whole words, by ``ord``, then term.
 
     A short list is searched for in the row. A longer one meets only the texts that hold a term's first two words: an index
-    joined on equality, checked by the same rule in the row. Terms in the list twice are found twice; empty and null
+    joined on equality of hashes, checked by the same rule in the row; only hashes and terms are sent. Terms in the list twice are found twice; empty and null
     ones never. A null text has no terms; keys may be null or repeated, each row answers for its own text.
     """
     listed = terms.filter("term <> ''").groupBy("term", "ord").agg(F.count(F.lit(1)).alias("n"))
@@ -76,10 +81,11 @@ def with_terms(
         ordered = [r.term for r in sorted(rows, key=lambda r: (r.ord, r.term))]
         return texts.withColumn(name, F.when(F.col(column).isNotNull(), find_terms(column, ordered) if ordered else none).otherwise(none))
     lowered = F.lower(column)
-    met = _anchors(texts, lowered, key).join(term_index(listed), "anchor").groupBy("_key").agg(
-        F.array_sort(F.collect_set(F.struct("ord", "term", "no", "lowered", "pattern"))).alias("_met")
+    index = term_index(listed).select("term", "ord", "no", F.hash("anchor").alias("anchor"))
+    met = _anchors(texts, lowered, key).join(index, "anchor").groupBy("_key").agg(
+        F.array_sort(F.collect_set(F.struct("ord", "term", "no"))).alias("_met")
     )
     joined = texts.join(met, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_lowered", lowered)
-    whole = lambda x: F.contains("_lowered", x["lowered"]) & F.regexp_like("_lowered", x["pattern"])
+    whole = lambda x: F.contains("_lowered", F.lower(x["term"])) & F.regexp_like("_lowered", _whole_word(x["term"]))
     found = F.transform(F.filter("_met", whole), lambda x: x["term"])
     return joined.withColumn(name, F.coalesce(found, none)).drop("_key", "_met", "_lowered")

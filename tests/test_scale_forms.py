@@ -247,3 +247,12 @@ def test_verdicts_are_stored_before_they_are_read_twice(spark, tmp_path):
     assert found.count() == 3 and sides.count() == 1
     for table in (found, sides):
         assert "parquet" not in table._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_long_lists_send_hashes_and_terms_only(spark):
+    texts = spark.createDataFrame([(1, "Red bolt, c++ x"), (2, "a red\nbolt"), (None, "RED BOLT"), (1, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("red bolt", 0), ("Bolt", 1), ("c++", 1), ("c++ x", 2)], "term string, ord int")
+    long, short = with_terms(texts, terms, limit=0), with_terms(texts, terms)
+    assert sorted(map(str, long.collect())) == sorted(map(str, short.collect()))
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "pattern" not in plan and "hash(" in plan
