@@ -256,3 +256,15 @@ def test_long_lists_send_hashes_and_terms_only(spark):
     assert sorted(map(str, long.collect())) == sorted(map(str, short.collect()))
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert "pattern" not in plan and "hash(" in plan
+
+
+def test_beginnings_meet_the_lexicon_before_they_are_sent(spark):
+    """Of many words only those of the lexicon are made distinct over rows; repeated rows and terms count as before."""
+    texts = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(500)) + " red bolt"), (1, "red"), (2, None), (None, "red bolt")], "doc_id long, text string")
+    terms = spark.createDataFrame([("red", "a"), ("red", "a"), ("red bolt", "b"), ("w49", "c")], "term string, category string")
+    found = K._terms_in(texts, terms, "text")
+    rows = sorted((r.doc_id or 0, r.term, r.category) for r in found.collect())
+    own = [("red", "a"), ("red", "a"), ("red bolt", "b")]
+    assert rows == [(0, *x) for x in own] + [(1, *x) for x in [*own, ("w49", "c")]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate [") < plan.index("Join LeftSemi") < plan.index("Generate explode")
