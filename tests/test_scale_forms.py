@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsieve import fixtures as X
+from docsieve.functions import text as T
 from docsieve.operators import classify as K
 from docsieve.operators import employment as W
 from docsieve.operators import evaluation as V
@@ -268,3 +269,30 @@ def test_beginnings_meet_the_lexicon_before_they_are_sent(spark):
     assert rows == [(0, *x) for x in own] + [(1, *x) for x in [*own, ("w49", "c")]]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate [") < plan.index("Join LeftSemi") < plan.index("Generate explode")
+
+
+def test_tokens_of_runs_are_computed_once(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "a")], "doc_id long, text string")
+    runs = texts.select("doc_id", F.explode(T.ngrams(T.words("text"), 2, 3)).alias("run"))
+    assert sorted(r.run for r in runs.collect()) == ["a b", "a b c", "b c", "b c d", "c d"]
+    for lo, hi in ((1, 1), (1, 3), (3, 4)):
+        want = [" ".join("abcd"[i : i + n]) for n in range(lo, hi + 1) for i in range(5 - n)]
+        assert texts.filter("doc_id = 1").select(T.ngrams(T.words("text"), lo, hi)).first()[0] == want
+    one = texts.select(F.explode(T.ngrams(F.regexp_extract_all("text", F.lit(r"(\w+)")), 1, 3)))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_terms_of_short_documents_are_counted_by_document(spark):
+    """Long and short documents together, null ids and pages; scores as without, and short ones send their chunks once."""
+    words = ("ore bolt ring red small large and the x " * 3).split()
+    rng = random.Random(9)
+    rows = [(None if k % 11 == 0 else k % 5, rng.choice(["hidden", "visible"]), None if k == 7 else k // 5 * 16, " ".join(rng.choices(words, k=rng.randrange(4)))) for k in range(120)]
+    chunks = spark.createDataFrame(rows, "doc_id long, side string, chunk long, text string").dropDuplicates(["doc_id", "side", "chunk"])
+    want = sorted(map(str, M.side_tfidf(M.side_terms(chunks, ["the"])).collect()))
+    assert want and "doc_id=None" not in want[0]
+    for short in (64, 1, 10**6):
+        assert sorted(map(str, M.term_scores(chunks, ["the"], short).collect())) == want
+    plan = M.term_scores(chunks, short=10**6)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    runs = M.side_terms(chunks.repartition("doc_id"), by_document=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in runs and not any("hashpartitioning(doc_id" in x and "term" in x for x in runs.splitlines())
