@@ -1,6 +1,7 @@
 """The forms made for large and skewed inputs give what the plain ones give."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -296,3 +297,16 @@ def test_terms_of_short_documents_are_counted_by_document(spark):
     assert "Join" not in plan
     runs = M.side_terms(chunks.repartition("doc_id"), by_document=True)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in runs and not any("hashpartitioning(doc_id" in x and "term" in x for x in runs.splitlines())
+
+
+def test_sets_are_not_sent_with_each_of_their_tokens(spark):
+    """Null ids and texts, repeated rows, signs that mean something in a pattern."""
+    same = "a| b. c* d$ e\\ f"
+    rows = [(1, "hidden", same), (1, "hidden", same), (1, "visible", "A|  b. c* d$ e\\"), (1, "hidden", "p q r s t"), (1, "hidden", None),
+            (2, "hidden", same), (None, "hidden", same), (None, "visible", "a| b. c* d$ e\\"), (1, "visible", None), (1, "visible", " ")]
+    table = spark.createDataFrame([(d, s, "ORG", t) for d, s, t in rows], "doc_id long, side string, label string, text string")
+    found = M.entity_mismatches(table)
+    kept = sorted(((r.doc_id, r.text, r.n) for r in found.collect()), key=str)
+    assert kept == sorted([(1, "p q r s t", 1), (1, None, 1), (2, same, 1), (None, same, 1)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "by_rarity" in plan and not re.search(r"Aggregate \[doc_id#\d+L?, label#\d+, s#\d+, tokens#\d+\]", plan)
