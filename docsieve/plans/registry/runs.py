@@ -189,8 +189,8 @@ J9 = f"""{_WALK} SELECT log_id, run_line, id, mode, parent_line, status, start_t
 
 
 SEGMENT_LINES = 40
-#: Micro-batches for any number of segments beyond a thousand each; what is fixed in one is paid this often.
-SEGMENT_STEPS = 8
+#: Files of a micro-batch at least, and how many micro-batches there are at most for any number of files beyond that.
+SEGMENT_FILES, SEGMENT_STEPS = 1000, 8
 #: Where Spark writes the segments of a log.
 SEGMENT_FOLDER = r"log_id=([^/]+)/segment=0*(\d+)/[^/]*$"
 
@@ -206,7 +206,7 @@ def j9_stream_segments(spark, d):
     end = spark.sql("select -1 as log_id, 1 as segment, '<END ANALYSIS id:none timestamp:20940101_000000>' as line")
     end.write.mode("append").partitionBy("log_id", "segment").text(f"{base}/in")  # the last file: what is open times out
     written = lines.select("log_id", "segment").distinct().count()
-    segments = S.stream_log_segments(spark, f"{base}/in", files=max(1000, -(-written // SEGMENT_STEPS)), pattern=SEGMENT_FOLDER)
+    segments = S.stream_log_segments(spark, f"{base}/in", files=max(SEGMENT_FILES, -(-written // SEGMENT_STEPS)), pattern=SEGMENT_FOLDER)
     query = (
         ST.stream_segment_runs(segments, delay="18000 days")
         .writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")

@@ -60,3 +60,27 @@ def test_one_log_in_many_steps_out_of_order(spark, tmp_path):
     assert {r.run_line: (r.id, r.mode, r.parent_line, r.status) for r in rows} == expected
     numbered = A.numbered_lines(A.read_log_segments(spark, str(source))).orderBy("line_no").collect()
     assert [(r.line_no, r.line) for r in numbered] == list(enumerate(log, 1))
+
+
+def test_many_segments_take_no_more_micro_batches(spark, monkeypatch, tmp_path):
+    """The stream is asked for as many files at a time as eight steps need, a thousand at least."""
+    from docsieve.plans.registry import runs
+
+    class Asked(Exception):
+        pass
+
+    def stream(spark, path, files, pattern):
+        raise Asked(files)
+
+    rows = [(k, k // 2, "view") for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("*", "timestamp'2024-01-01' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(runs.S, "stream_log_segments", stream)
+    monkeypatch.setattr(runs, "SEGMENT_LINES", 1)
+    asked = []
+    for least in (1000, 1):
+        monkeypatch.setattr(runs, "SEGMENT_FILES", least)
+        try:
+            runs.j9_stream_segments(spark, str(tmp_path))
+        except Asked as files:
+            asked.append(files.args[0])
+    assert asked == [1000, 8]
