@@ -201,8 +201,7 @@ def j9_stream_segments(spark, d):
     number = F.floor((F.col("line_no") - 1) / SEGMENT_LINES) + 1
     lines = _lines(spark, d).select("log_id", number.alias("segment"), "line_no", "line")
     for turn in (0, 1):  # even segments are written before odd ones
-        part = lines.filter(F.col("segment") % 2 == turn).repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
-        part.select("log_id", "segment", "line").write.mode("append").partitionBy("log_id", "segment").text(f"{base}/in")
+        S.write_line_files(lines.filter(F.col("segment") % 2 == turn), f"{base}/in", ["log_id", "segment"], ["line_no"])
     end = spark.sql("select -1 as log_id, 1 as segment, '<END ANALYSIS id:none timestamp:20940101_000000>' as line")
     end.write.mode("append").partitionBy("log_id", "segment").text(f"{base}/in")  # the last file: what is open times out
     written = lines.select("log_id", "segment").distinct().count()

@@ -132,8 +132,7 @@ def a9_numbered_segments(spark, d):
     path = _folder(spark, "segments")
     number = F.floor((F.col("line_no") - 1) / 40) + 1
     lines = X.run_lines(spark, d).select("log_id", number.alias("segment"), "line_no", "line")
-    placed = lines.repartition("log_id", "segment").sortWithinPartitions("log_id", "segment", "line_no")
-    placed.select("log_id", "segment", "line").write.partitionBy("log_id", "segment").text(path)
+    S.write_line_files(lines, path, ["log_id", "segment"], ["line_no"])
     segments = S.read_log_segments(spark, path, r"log_id=([^/]+)/segment=0*(\d+)/[^/]*$")
     return S.numbered_lines(segments).select(F.col("log").cast("bigint").alias("log_id"), "line_no", "line")
 

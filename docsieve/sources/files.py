@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import strip
 from docsieve.operators.errors import SUPPORTED, extension
-from docsieve.operators.ordered import position
+from docsieve.operators.ordered import place, position
 
 
 def read_documents(spark: SparkSession, path: str, types: Sequence[str] | str | None = None) -> DataFrame:
@@ -102,6 +103,58 @@ def prefer_existing(documents: DataFrame) -> DataFrame:
     )
 
 
+def write_line_files(lines: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
+    """``line`` of each row, by ``order``, in one file for every value of the whole numbers ``by``, in the folders that
+    ``partitionBy`` makes (``<path>/a=1/b=2/<file>``). Files are added to what is there.
+
+    On a local or mounted disk Hadoop starts a ``chmod`` for every file and folder, which takes far longer than the lines;
+    there the tasks write the files themselves, a line at a time, so a file may be of any length. A task that is run again
+    replaces its files. Other stores are written by Spark.
+    """
+    placed = lines.repartition(*by).sortWithinPartitions(*by, *order)
+    folder = _disk_folder(lines.sparkSession, path)
+    if folder is None:
+        placed.select(*by, "line").write.mode("append").partitionBy(*by).text(path)
+        return
+    names = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in by]
+    # As in Spark's text files, a null line is an empty one.
+    rows = placed.select(F.concat_ws("/", *names).alias("at"), F.coalesce(F.col("line").cast("binary"), F.lit(b"")).alias("line"))
+
+    def write(batches):
+        import os
+        import uuid
+
+        at, file, written = None, None, 0
+        mine = f".part-{uuid.uuid4().hex}"  # readers pass over such names
+
+        def close():
+            file.close()
+            os.replace(f"{folder}/{at}/{mine}", f"{folder}/{at}/part-0.txt")
+
+        for batch in batches:
+            for to, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if to != at:
+                    if file is not None:
+                        close()
+                    at, written = to, written + 1
+                    os.makedirs(f"{folder}/{at}", exist_ok=True)
+                    file = open(f"{folder}/{at}/{mine}", "wb")  # noqa: SIM115
+                file.write(line + b"\n")
+        if file is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def _disk_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder that ``path`` is on a local or mounted disk, or None if another store holds it."""
+    context = spark.sparkContext
+    named = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = named.getFileSystem(context._jsc.hadoopConfiguration())
+    return store.makeQualified(named).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """``log_id, line_no, line`` of the log files under ``path``, numbered within each file as they stand there.
 
@@ -161,12 +214,14 @@ def stream_log_segments(spark: SparkSession, path: str, files: int | None = None
 def numbered_lines(segments: DataFrame) -> DataFrame:
     """``log_id, log, line_no, line`` of segments in a table: a line's place plus the lines of the segments before it.
 
-    Only the segments' counts are summed over a log, and joined to the lines."""
+    The segments are read once and sent once; only their counts are summed over a log and joined to them."""
     lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), "\r?\n")
     cut = segments.filter("text <> ''").select("log_id", "log", "segment", lines.alias("lines"))
+    placed = place(cut, ["log_id"], F.col("segment"))
     before = Window.partitionBy("log_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.select("log_id", "segment", F.size("lines").cast("bigint").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))
-    places = cut.select("log_id", "log", "segment", F.posexplode("lines").alias("k", "line")).join(counts.drop("n"), ["log_id", "segment"])
+    counts = placed.select("log_id", "segment", F.size("lines").cast("bigint").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))
+    known = placed.join(counts.drop("n"), ["log_id", "segment"])
+    places = known.select("log_id", "log", "earlier", F.posexplode("lines").alias("k", "line"))
     return places.select("log_id", "log", (F.col("earlier") + F.col("k") + 1).alias("line_no"), "line")
 
 

@@ -84,3 +84,43 @@ def test_many_segments_take_no_more_micro_batches(spark, monkeypatch, tmp_path):
         except Asked as files:
             asked.append(files.args[0])
     assert asked == [1000, 8]
+
+
+def test_line_files_are_written_by_the_tasks(spark, tmp_path):
+    """One file for each log and segment, a line at a time and in order; keys and lines may be null, logs are added."""
+    rows = [(k % 7, k // 70, k, f"line {k}" if k % 9 else None) for k in range(30_000)] + [(None, 1, 1, "no log")]
+    lines = spark.createDataFrame(rows, "log_id long, segment long, line_no long, line string").repartition(5, "line")
+    A.write_line_files(lines.filter("segment % 2 = 0"), f"file://{tmp_path}/new", ["log_id", "segment"], ["line_no"])
+    A.write_line_files(lines.filter("segment % 2 = 1"), f"{tmp_path}/new", ["log_id", "segment"], ["line_no"])
+    A.write_line_files(lines, f"{tmp_path}/one", ["log_id"], ["line_no"])
+
+    def files(folder, of):
+        want = {}
+        for row in sorted(rows, key=lambda r: r[2]):
+            at = "/".join(f"{name}={'__HIVE_DEFAULT_PARTITION__' if row[i] is None else row[i]}" for i, name in enumerate(of))
+            want[at] = want.get(at, "") + (row[3] or "") + "\n"
+        found = {str(f.parent.relative_to(folder)): f.read_text() for f in folder.rglob("*") if f.is_file()}
+        return found, want
+
+    for folder, of in (("new", ("log_id", "segment")), ("one", ("log_id",))):
+        found, want = files(tmp_path / folder, of)
+        assert found == want  # no other files, so none of the processes that Hadoop starts for each
+
+    read = A.read_run_log(spark, f"{tmp_path}/one/log_id=3").orderBy("line_no").collect()
+    assert [r.line for r in read] == [r[3] or "" for r in rows if r[0] == 3]
+
+
+def test_segments_are_read_once_to_be_numbered(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k % 5, str(k % 5), k // 5, f"a {k}\nb {k}\r\n\n") for k in range(200)]
+    schema = "log_id long, log string, segment long, text string"
+    segments = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    found = sorted((r.log, r.line_no, r.line) for r in A.numbered_lines(segments).collect())
+    assert found == sorted((str(k % 5), 3 * (k // 5) + i + 1, x) for k in range(200) for i, x in enumerate((f"a {k}", f"b {k}", "")))
+    assert seen.value == len(rows)
