@@ -122,8 +122,7 @@ A7 = """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 AND text <> '' THEN text WH
 def a9_read_run_log(spark, d):
     """Log lines written to one file per log and read back; lines are counted by their number."""
     path = _folder(spark, "logs")
-    lines = X.run_lines(spark, d).select("log_id", "line_no", "line").repartition("log_id").sortWithinPartitions("log_id", "line_no")
-    lines.select("log_id", "line").write.partitionBy("log_id").text(path)
+    S.write_line_files(X.run_lines(spark, d).select("log_id", "line_no", "line"), path, ["log_id"], ["line_no"])
     return S.read_run_log(spark, f"{path}/*").groupBy("line_no", "line").agg(F.count("*").alias("n"))
 
 
