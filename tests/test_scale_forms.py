@@ -16,6 +16,8 @@ from docsieve.operators import manipulation as M
 from docsieve.operators import ordered as O
 from docsieve.operators import spans as S
 from docsieve.operators.terms import with_terms
+from docsieve.plans.analyze import analyze, hidden_section
+from docsieve.session import stored
 from docsieve.sources import files as A
 
 
@@ -310,3 +312,31 @@ def test_sets_are_not_sent_with_each_of_their_tokens(spark):
     assert kept == sorted([(1, "p q r s t", 1), (1, None, 1), (2, same, 1), (None, same, 1)], key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "by_rarity" in plan and not re.search(r"Aggregate \[doc_id#\d+L?, label#\d+, s#\d+, tokens#\d+\]", plan)
+
+
+def test_documents_of_the_analysis_are_read_once(spark):
+    """Every stage reads them, from where they are kept; hidden text is put together once for all that searches it."""
+    seen, kept = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def keep(df):
+        kept.append(df.columns)
+        return stored(df)
+
+    rows = [(k, "Developer at Acme, Jan 1999 - Mar 2001. python" if k % 2 else "") for k in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    found = analyze(documents, lexicon=X.job_lexicon(spark), as_of="2002-01-15", stages=("features", "category", "turnover"), keep=keep)
+    got = {r.doc_id: (r.job_count, r.predicted_category, r.word_count) for r in found.collect()}
+    assert got == {k: (1.0, "Development", 9) if k % 2 else (0.0, "Development", 0) for k in range(40)}
+    assert seen.value == len(rows)
+    spans = [(k, 1, i, text, 16777215 if i else 0) for k in range(6) for i, text in enumerate(("a visible text", "red bolt", "bolt blue green"))]
+    table = spark.createDataFrame(spans, "doc_id long, page int, span_no int, text string, color int").selectExpr("*", "'f' AS font", "1.0D AS size")
+    kept.clear()
+    section = hidden_section(table, keep=keep, keywords=("red", "bolt blue", "bolt bolt", "green"), phrase_lexicon=X.product_lexicon(spark))
+    assert {r.doc_id: (r.hits, r.stuffing) for r in section.collect()} == {k: (["red", "bolt blue", "bolt bolt", "green"], True) for k in range(6)}
+    assert [c for c in kept if "chunk" in c] == [["doc_id", "side", "chunk", "text", "spans"]]
+    assert section._jdf.queryExecution().optimizedPlan().toString().count("listagg") == 0
