@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docsieve import fixtures as X
 from docsieve.functions import text as T
+from docsieve.functions.matching import matches
 from docsieve.operators import classify as K
 from docsieve.operators import employment as W
 from docsieve.operators import evaluation as V
@@ -340,3 +341,13 @@ def test_documents_of_the_analysis_are_read_once(spark):
     assert {r.doc_id: (r.hits, r.stuffing) for r in section.collect()} == {k: (["red", "bolt blue", "bolt bolt", "green"], True) for k in range(6)}
     assert [c for c in kept if "chunk" in c] == [["doc_id", "side", "chunk", "text", "spans"]]
     assert section._jdf.queryExecution().optimizedPlan().toString().count("listagg") == 0
+
+
+def test_matches_in_texts_that_hold_the_mark(spark):
+    texts = [("ab 12 \u0001 345",), ("\u000112",), ("none",), ("",), (None,), ("7",), ("😀 12 é 3",)]
+    table = spark.createDataFrame(texts, "t string").select("t", matches("t", r"\d+").alias("m"))
+    for r in table.collect():
+        want = None if r.t is None else [(m.start(), m.group()) for m in re.finditer(r"\d+", r.t)]
+        assert (None if r.m is None else [tuple(x) for x in r.m]) == want
+    plan = spark.createDataFrame([("x",)], "t string").select(F.size(T.words("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # which compiles its pattern for every row
