@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -351,3 +352,23 @@ def test_matches_in_texts_that_hold_the_mark(spark):
         assert (None if r.m is None else [tuple(x) for x in r.m]) == want
     plan = spark.createDataFrame([("x",)], "t string").select(F.size(T.words("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan  # which compiles its pattern for every row
+
+
+def test_long_lists_are_found_by_joins_alone(spark):
+    """Neither do terms of usual lengths search a text, nor does a text travel that isn't asked for; every form agrees with the search."""
+    draw = np.random.default_rng(2)
+    bits = ["a", "bb", "É1", "c_d", "--", " ", ", ", "\n", "😀", ".", "B"]
+    made = lambda n: "".join(draw.choice(bits, n))
+    texts = [(k % 7 if k % 5 else None, made(draw.integers(0, 60))) for k in range(60)] + [(1, None), (2, ""), (3, "--"), (4, "x" * 3000)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    every = [(made(n), int(draw.integers(0, 2))) for n in range(1, 9) for _ in range(40)]
+    every += [(f"a{', a' * n}", 0) for n in (3, 6, 9)] + [("--", 1), (" ", 0), (", ", 0), ("a ", 1), (" a", 1), ("", 0), (None, 0)]
+    shown = lambda t: sorted(map(str, t.collect()))
+    for some in (every, [t for t in every if t[0] in ("--", " ", ", ")], [t for t in every if t[0] and len(t[0]) > 20]):
+        terms = spark.createDataFrame(some, "term string, ord int")
+        assert shown(with_terms(table, terms, limit=0)) == shown(with_terms(table, terms, limit=10_000))
+    plain = spark.createDataFrame([("a bb", 0), ("B, a", 0), ("bb", 1)], "term string, ord int")
+    found = with_terms(table, plain, limit=0).select("doc_id", "terms")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "_lowered" not in plan
+    assert shown(found) == shown(with_terms(table, plain).select("doc_id", "terms"))
